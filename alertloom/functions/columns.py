@@ -1,11 +1,28 @@
 """Small column expressions shared by the operators."""
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICROS = 1_000_000
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often ``body`` mentions it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def computed_once(df: DataFrame, *keep: str | Column, **cols: Column) -> DataFrame:
+    """``keep`` plus ``cols``, each evaluated once per row.
+
+    A generator of one row: the optimizer copies neither a projection's expressions into
+    later filters nor into later projections across it.
+    """
+    row = F.struct(*[c.alias(n) for n, c in cols.items()])
+    return df.select(*keep, F.inline(F.array(row)))
+
+
 def micros(ts: str | Column) -> Column:
     """Epoch microseconds; TIMESTAMP_NTZ input is read as UTC."""
     return F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))

@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from alertloom.functions.columns import let
+
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _H = r"[0-9a-fA-F]{1,4}"
@@ -18,14 +20,14 @@ def _address(c: Column) -> Column:
 
 def is_ipv6(c: Column) -> Column:
     """Eight groups, or fewer with one '::'; the tail may be dotted IPv4; a zone may follow."""
-    addr = _address(c)
+    def shaped(hexed: Column) -> Column:
+        full = hexed.rlike(rf"^{_H}(?::{_H}){{7}}$")
+        short = hexed.rlike(rf"^(?:{_H}(?::{_H})*)?::(?:{_H}(?::{_H})*)?$")
+        return full | (short & (F.size(F.filter(F.split(hexed, ":"), lambda g: g != "")) <= 7))
+
     # A dotted tail counts as two groups.
-    hexed = F.regexp_replace(addr, rf"{_V4}$", "0:0")
-    full = hexed.rlike(rf"^{_H}(?::{_H}){{7}}$")
-    shape = hexed.rlike(rf"^(?:{_H}(?::{_H})*)?::(?:{_H}(?::{_H})*)?$")
-    groups = F.size(F.filter(F.split(hexed, ":"), lambda g: g != ""))
-    zone_ok = ~c.contains("%") | c.rlike(r"^[^%]+%[^%]+$")
-    return (full | (shape & (groups <= 7))) & zone_ok
+    hexed = F.regexp_replace(_address(c), rf"{_V4}$", "0:0")
+    return let(hexed, shaped) & (~c.contains("%") | c.rlike(r"^[^%]+%[^%]+$"))
 
 
 def is_ip(c: Column) -> Column:
@@ -39,23 +41,30 @@ def _v4_tail_as_hex(addr: Column) -> Column:
     return F.when(addr.rlike(rf"{_V4}$"), F.concat(head, pair[0], F.lit(":"), pair[1])).otherwise(addr)
 
 
-def canonical_ip(c: Column) -> Column:
-    """IPv4 unchanged; IPv6 lower case, leading zeros dropped, first longest zero run as '::'."""
-    addr = _v4_tail_as_hex(F.lower(_address(c)))
-    left = F.split(F.split(addr, "::")[0], ":")
-    right = F.split(F.coalesce(F.get(F.split(addr, "::"), F.lit(1)), F.lit("")), ":")
-    left, right = (F.filter(a, lambda g: g != "") for a in (left, right))
+def _groups(addr: Column) -> Column:
+    """The eight groups of an IPv6 address without zone, leading zeros dropped."""
+    halves = F.split(addr, "::")
+    left = F.filter(F.split(halves[0], ":"), lambda g: g != "")
+    right = F.filter(F.split(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), ":"), lambda g: g != "")
     zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)).cast("int"))
-    groups = F.transform(F.concat(left, zeros, right), lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
-    flat = F.array_join(groups, ":")
-    short = flat
-    for n in range(2, 9):  # later (longer) runs win
+    return F.transform(F.concat(left, zeros, right), lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
+
+
+def _squeeze(flat: Column) -> Column:
+    """Colon-joined groups with the first longest run of two or more zeros as '::'."""
+    out = flat
+    for n in range(2, 9):  # the longest run that is found decides
         run = rf"^(|.*?:)0(?::0){{{n - 1}}}(|:.*)$"
-        squeezed = F.regexp_replace(
-            F.regexp_replace(flat, run, "$1::$2"), ":{3,}", "::")
-        short = F.when(flat.rlike(run), squeezed).otherwise(short)
+        out = F.when(flat.rlike(run), F.regexp_replace(F.regexp_replace(flat, run, "$1::$2"), ":{3,}", "::")).otherwise(out)
+    return out
+
+
+def canonical_ip(c: Column) -> Column:
+    """IPv4 unchanged; IPv6 lower case, leading zeros dropped, first longest zero run as '::'."""
+    v6 = let(_v4_tail_as_hex(F.lower(_address(c))),
+             lambda addr: let(F.array_join(_groups(addr), ":"), _squeeze))
     zone = F.when(c.contains("%"), F.concat(F.lit("%"), F.substring_index(c, "%", -1))).otherwise("")
-    return F.when(is_ipv4(c) | ~is_ipv6(c), c).otherwise(F.concat(short, zone))
+    return F.when(~c.contains(":"), c).when(is_ipv6(c), F.concat(v6, zone)).otherwise(c)
 
 
 def defang(c: Column) -> Column:

@@ -5,14 +5,16 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from alertloom.functions.columns import computed_once
 from alertloom.functions.net import is_ip
 from alertloom.schemas import REQUIRED_EVENT_COLUMNS, SCHEMA_VERSION
 
 FIELDS_MAX_BYTES = 4096
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def fields_bytes(texts: pd.Series) -> pd.Series:
     """Size of a JSON object re-serialized with ASCII escapes and spaced separators; -1 if not one."""
     def size(text):
@@ -53,7 +55,7 @@ def event_violations(check_fields: bool = True) -> Column:
 
 def validate_events(df: DataFrame, check_fields: bool = True) -> DataFrame:
     """Adds ``violations`` to a frame that already has the unified columns."""
-    return df.withColumn("violations", event_violations(check_fields))
+    return computed_once(df, *df.columns, violations=event_violations(check_fields))
 
 
 def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:

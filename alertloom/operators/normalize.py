@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.functions.columns import aware_timestamp, blank_to_null, severity_from_level
+from alertloom.functions.columns import aware_timestamp, blank_to_null, computed_once, severity_from_level
 from alertloom.functions.net import canonical_ip
 from alertloom.operators.contract import event_violations
 from alertloom.schemas import SCHEMA_VERSION, UNIFIED_EVENT
@@ -71,17 +71,11 @@ def normalize_alerts(raw: DataFrame) -> DataFrame:
         "rule_id": F.col("rule.id"),
         "mitre_technique_ids": F.col("rule.mitre.id"),
     }
+    typed = {f.name: cols.get(f.name, nothing).cast(f.dataType) for f in UNIFIED_EVENT}
     bad_level = F.col("rule.level").isNotNull() & F.col("rule.level").try_cast("int").isNull()
-    out = raw.select(
-        *[cols.get(f.name, nothing).cast(f.dataType).alias(f.name) for f in UNIFIED_EVENT],
-        bad_level.alias("_bad_level"),
-    )
-    found = F.concat(
-        event_violations(check_fields=False),
-        F.when(F.col("_bad_level"), F.array(F.lit("level_not_integer")))
-        .otherwise(F.array().cast("array<string>")),
-    )
-    return out.withColumn("violations", found).drop("_bad_level")
+    out = computed_once(raw, **typed, _bad_level=bad_level)
+    found = F.array_append(event_violations(check_fields=False), F.when(F.col("_bad_level"), "level_not_integer"))
+    return computed_once(out, *UNIFIED_EVENT.names, violations=F.array_compact(found))
 
 
 Normalizer = Callable[[DataFrame], DataFrame]

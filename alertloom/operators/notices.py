@@ -1,6 +1,7 @@
 """Notification outbox, system-health notices and their coalescing."""
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -87,16 +88,41 @@ def _entry_exit(t: np.ndarray, window_us: int, block_us: int) -> tuple[np.ndarra
     return t[entries[last_of_run]], t[at[last_of_run]]
 
 
-def _fires(t: np.ndarray, entry: int, window_us: int) -> tuple[list[int], list[int], int, int]:
-    """Anchors from ``entry`` on, the count each closes within the block, head and tail sizes."""
-    nxt = _successors(t, window_us)
+def _windows(t: np.ndarray, entry: int, window_us: int) -> list[dict]:
+    """The windows a block opens (start, notices in the block), after one for the notices before."""
+    after = _successors(t, window_us)
     i = int(np.searchsorted(t, entry, side="left"))
-    head, anchors = i, []
+    starts = []
     while i < len(t):
-        anchors.append(i)
-        i = int(nxt[i])
-    sizes = np.diff(np.append(anchors, len(t)))
-    return t[anchors].tolist(), sizes[:-1].tolist(), head, int(sizes[-1])
+        starts.append(i)
+        i = int(after[i])
+    bounds = [0, *starts, len(t)]
+    return [{"at": int(t[lo]) if n else None, "size": hi - lo}
+            for n, (lo, hi) in enumerate(zip(bounds, bounds[1:]))]
+
+
+def _by_block(batches: Iterator[pd.DataFrame], *cols: str) -> Iterator[tuple]:
+    """(k, block, arrays of ``cols``) per block from rows sorted by (k, block), across batches."""
+    name, held = None, []
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        k, block = pdf["k"].to_numpy(), pdf["block"].to_numpy()
+        arrays = [pdf[c].to_numpy() for c in cols]
+        starts = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (block[1:] != block[:-1])))
+        for lo, hi in zip(starts, [*starts[1:], len(k)]):
+            if (k[lo], block[lo]) != name:
+                if held:
+                    yield (*name, *map(np.concatenate, zip(*held)))
+                name, held = (k[lo], block[lo]), []
+            held.append([a[lo:hi] for a in arrays])
+    if held:
+        yield (*name, *map(np.concatenate, zip(*held)))
+
+
+def _batched(rows: Iterator[tuple], columns: list[str], size: int = 10_000) -> Iterator[pd.DataFrame]:
+    while chunk := list(islice(rows, size)):
+        yield pd.DataFrame(chunk, columns=columns)
 
 
 def coalesce_notices(notices: DataFrame, key: list[str] | None = None, at: str = "at",
@@ -113,33 +139,40 @@ def coalesce_notices(notices: DataFrame, key: list[str] | None = None, at: str =
         raise ValueError("block_s must be at least window_s")
     window_us, block_us = window_s * MICROS, block_s * MICROS
 
-    @F.pandas_udf("array<struct<upto:bigint,exit:bigint>>")
-    def entry_exit(us: pd.Series) -> list:
-        upto, leave = _entry_exit(np.sort(us.to_numpy()), window_us, block_us)
-        return [{"upto": int(a), "exit": int(b)} for a, b in zip(upto, leave)]
+    def outcomes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows():
+            for k, block, t in _by_block(batches, "us"):
+                for upto, leave in zip(*_entry_exit(t, window_us, block_us)):
+                    yield k, block, int(upto), int(leave)
 
-    @F.pandas_udf("struct<at:array<bigint>,sizes:array<bigint>,head:bigint,tail:bigint>")
-    def fires(us: pd.Series, entry: pd.Series) -> dict:
-        t, e = np.sort(us.to_numpy()), entry.iloc[0]
-        if pd.isna(e):  # the chain passes over this block: all of it belongs to the open window
-            return {"at": [], "sizes": [], "head": len(t), "tail": 0}
-        anchors, sizes, head, tail = _fires(t, int(e), window_us)
-        return {"at": anchors, "sizes": sizes, "head": head, "tail": tail}
+        return _batched(rows(), ["k", "block", "upto", "exit"])
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Follow each key's chain over its sorted blocks; state is one key and one anchor."""
-        current, block, anchor, done = None, None, None, False
-        for pdf in batches:
-            out = []
-            for k, b, upto, leave in zip(pdf["k"], pdf["block"], pdf["upto"], pdf["exit"]):
-                if k != current:
-                    current, block, anchor = k, None, None
-                if b != block:
-                    block, done = b, False
-                if not done and (anchor is None or upto >= anchor + window_us):
-                    out.append((k, b, b * block_us if anchor is None else anchor + window_us))
-                    anchor, done = leave, True
-            yield pd.DataFrame(out, columns=["k", "block", "entry"])
+        def rows():
+            current, block, anchor, done = None, None, None, False
+            for pdf in batches:
+                for k, b, upto, leave in zip(pdf["k"], pdf["block"], pdf["upto"], pdf["exit"]):
+                    if k != current:
+                        current, block, anchor = k, None, None
+                    if b != block:
+                        block, done = b, False
+                    if not done and (anchor is None or upto >= anchor + window_us):
+                        yield k, b, -(2**62) if anchor is None else anchor + window_us
+                        anchor, done = leave, True
+
+        return _batched(rows(), ["k", "block", "entry"])
+
+    def windows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks start with their entry, if the chain enters them; else all belongs to the open window."""
+        def rows():
+            for k, block, us, is_entry in _by_block(batches, "us", "is_entry"):
+                if is_entry[0]:
+                    yield k, block, _windows(us[1:], int(us[0]), window_us)
+                else:
+                    yield k, block, [{"at": None, "size": len(us)}]
+
+        return _batched(rows(), ["k", "block", "w"])
 
     def packed(df: DataFrame):
         return F.to_json(F.struct(*[df[c] for c in key]), {"ignoreNullFields": "false"}).alias("k")
@@ -147,10 +180,11 @@ def coalesce_notices(notices: DataFrame, key: list[str] | None = None, at: str =
     rows = notices.select(packed(notices), micros(at).alias("us"))
     rows = rows.withColumn("block", cell_of(F.col("us"), block_us))
     outcomes = (
-        rows.groupBy("k", "block").agg(entry_exit("us").alias("s"))
-        .select("k", "block", F.inline("s"))
+        rows.repartition("k", "block").sortWithinPartitions("k", "block", "us")
+        .mapInPandas(outcomes_of, "k string, block bigint, upto bigint, exit bigint")
     )
-    before_all = F.lit(-(2**62)).alias("block")
+    before_all_value = -(2**40)
+    before_all = F.lit(before_all_value).alias("block")
     if open_windows is not None:
         opened = open_windows.select(packed(open_windows), before_all, micros("opened_at").alias("upto"), "count")
         outcomes = outcomes.unionByName(opened.select("k", "block", "upto", F.col("upto").alias("exit")))
@@ -158,26 +192,28 @@ def coalesce_notices(notices: DataFrame, key: list[str] | None = None, at: str =
         outcomes.repartition("k").sortWithinPartitions("k", "block", "upto")
         .mapInPandas(walk, "k string, block bigint, entry bigint")
     )
+    marked = rows.withColumn("is_entry", F.lit(False)).unionByName(
+        entries.select("k", "block", F.col("entry").alias("us"), F.lit(True).alias("is_entry")))
     per_block = (
-        rows.join(entries, ["k", "block"], "left")
-        .groupBy("k", "block").agg(fires("us", "entry").alias("f")).select("k", "block", "f.*")
-    )
+        marked.repartition("k", "block").sortWithinPartitions("k", "block", F.desc("is_entry"), "us")
+        .mapInPandas(windows_of, "k string, block bigint, w array<struct<at:bigint,size:bigint>>")
+    ).where(F.col("block") > before_all_value)
     if open_windows is not None:
-        nothing = F.array().cast("array<bigint>")
-        per_block = per_block.unionByName(opened.select(
-            "k", "block", F.array("upto").alias("at"), nothing.alias("sizes"),
-            F.lit(0).cast("long").alias("head"), F.col("count").alias("tail")))
+        held = F.array(F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).cast("long").alias("size")),
+                       F.struct(F.col("upto").alias("at"), F.col("count").alias("size")))
+        per_block = per_block.unionByName(opened.select("k", "block", held.alias("w")))
     # The notice that closes a window counts the tail of the block that opened it, the
     # blocks the chain passed over since, and its own block's head.
     by_block = Window.partitionBy("k").orderBy("block")
-    opens = F.size("at") > 0
+    opens, head, tail = F.size("w") > 1, F.col("w")[0]["size"], F.element_at("w", -1)["size"]
     grouped = per_block.withColumn("_group", F.count_if(opens).over(
         by_block.rowsBetween(Window.unboundedPreceding, 0)))
-    left_open = F.sum(F.col("tail") + F.when(opens, 0).otherwise(F.col("head")))
-    grouped = grouped.withColumn("_open", left_open.over(Window.partitionBy("k", "_group"))).where(opens)
-    closing = F.lag("_open").over(by_block) + F.col("head")
+    grouped = grouped.withColumn("_open", F.sum(tail).over(Window.partitionBy("k", "_group"))).where(opens)
+    closing = F.coalesce(F.lag("_open").over(by_block) + head, F.lit(1).cast("long"))
+    started = F.slice(F.col("w"), F.lit(2), F.size("w") - 1)
     grouped = grouped.select(
-        "k", "block", "at", "_open", F.concat(F.array(F.coalesce(closing, F.lit(1).cast("long"))), "sizes").alias("n"),
+        "k", "block", started.alias("w"), "_open",
+        F.concat(F.array(closing), F.transform(started, lambda x: x["size"])).alias("n"),
         F.lead("block").over(by_block).isNull().alias("_last"))
     schema = notices.select(*key).schema
 
@@ -185,12 +221,12 @@ def coalesce_notices(notices: DataFrame, key: list[str] | None = None, at: str =
         return df.withColumn("_k", F.from_json("k", schema)).select(
             *[F.col(f"_k.{c}").alias(c) for c in key], *cols)
 
-    zipped = F.arrays_zip(F.col("at").alias("us"), F.col("n").alias("n"))
+    told = F.transform("w", lambda x, i: F.struct(x["at"].alias("us"), F.get("n", i).alias("n")))
     fired = unpacked(
-        grouped.where(F.col("block") != before_all).select("k", F.explode(zipped).alias("z")),
+        grouped.where(F.col("block") != before_all).select("k", F.explode(told).alias("z")),
         F.timestamp_micros("z.us").alias("fired_at"), F.col("z.n").alias("count"))
     still_open = unpacked(
-        grouped.where("_last"), F.timestamp_micros(F.element_at("at", -1)).alias("opened_at"),
+        grouped.where("_last"), F.timestamp_micros(F.element_at("w", -1)["at"]).alias("opened_at"),
         F.col("_open").alias("count"))
     return fired, still_open
 

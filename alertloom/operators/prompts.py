@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from alertloom.functions.columns import iso_utc
 from alertloom.schemas import CONTEXT, UNIFIED_EVENT
@@ -59,7 +60,7 @@ def trigger_pattern() -> str:
     return "(?i)(?:" + "|".join(spaced) + ")"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.functions.columns import blank_to_null, severity_of
+from alertloom.functions.columns import blank_to_null, computed_once, let, severity_of
 from alertloom.schemas import CLASSIFICATIONS, DEAD_LETTER, MODEL_OUTPUT
 
 MAX_ATTEMPTS = 2
@@ -76,86 +76,73 @@ def rubric_scorer(df: DataFrame, undecided: str = "informational") -> DataFrame:
     return df.withColumn("attempts", F.array(F.to_json(answer)))
 
 
-def _type_of(v: Column, key: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
-
-
-def output_violations(raw: str | Column) -> Column:
-    """Names of the rules a raw answer breaks; empty means valid.
-
-    The answer must be one JSON object with exactly the five contract keys, each of
-    its own JSON type: nothing is converted, fenced or trailing text is not JSON.
-    """
-    raw = F.col(raw) if isinstance(raw, str) else raw
-    v = F.try_parse_json(raw)
-    keys = F.json_object_keys(raw)
+def _violations(v: Column, keys: Column) -> Column:
+    """Rules broken by a parsed answer ``v`` with top-level ``keys``."""
     want = F.array(*[F.lit(n) for n in MODEL_OUTPUT.names])
-    is_object = F.coalesce(v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False))
+
+    def kind(key: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
 
     def text(key: str) -> Column:
-        return F.try_variant_get(v, f"$.{key}", "string")
-
-    def typed(key: str, *types: str) -> Column:
-        kind, ok = _type_of(v, key), F.lit(False)
-        for t in types:
-            ok = ok | (kind == t)
-        return F.coalesce(ok, F.lit(False))
-
-    number = typed("confidence", "BIGINT", "DOUBLE") | F.coalesce(
-        _type_of(v, "confidence").startswith("DECIMAL"), F.lit(False))
-    confidence = F.try_variant_get(v, "$.confidence", "double")
-    actions = F.try_variant_get(v, "$.suggested_actions", "array<string>")
-    actions_ok = (
-        typed("suggested_actions", "ARRAY<STRING>", "ARRAY<VOID>")
-        & (F.size(actions) <= 10)
-        & F.forall(actions, lambda a: a.isNotNull() & F.length(a).between(1, 200))
-    )
+        return F.when(kind(key) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
+
+    number = F.when(kind("confidence").rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(v, "$.confidence", "double"))
+    actions = F.when(kind("suggested_actions").isin("ARRAY<STRING>", "ARRAY<VOID>"),
+                     F.try_variant_get(v, "$.suggested_actions", "array<string>"))
     checks = [
         (F.size(F.array_except(keys, want)) == 0, "extra_key"),
         (F.size(F.array_except(want, keys)) == 0, "missing_key"),
-        (typed("classification", "STRING") & text("classification").isin(*CLASSIFICATIONS), "classification"),
-        (number & confidence.between(0.0, 1.0), "confidence"),
-        (typed("summary", "STRING") & (F.length(text("summary")) <= 200), "summary"),
-        (actions_ok, "suggested_actions"),
-        (typed("rationale", "STRING") & (F.length(text("rationale")) <= 500), "rationale"),
+        (text("classification").isin(*CLASSIFICATIONS), "classification"),
+        (number.between(0.0, 1.0), "confidence"),
+        (F.length(text("summary")) <= 200, "summary"),
+        ((F.size(actions) <= 10) & F.forall(actions, lambda a: F.length(a).between(1, 200)), "suggested_actions"),
+        (F.length(text("rationale")) <= 500, "rationale"),
     ]
-    broken = F.filter(
-        F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for ok, name in checks]),
-        lambda n: n.isNotNull())
-    return F.when(is_object, broken).otherwise(F.array(F.lit("not_json_object")))
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for ok, name in checks]))
 
 
-def parse_output(raw: str | Column) -> Column:
-    """The five typed columns of a valid answer."""
-    raw = F.col(raw) if isinstance(raw, str) else raw
-    v = F.try_parse_json(raw)
+def _fields(v: Column) -> Column:
     return F.struct(*[
-        F.try_variant_get(v, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in MODEL_OUTPUT
-    ])
+        F.try_variant_get(v, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in MODEL_OUTPUT])
+
+
+def judge_output(raw: str | Column) -> Column:
+    """Struct of ``broken`` (names of the rules a raw answer breaks) and the typed ``output``.
+
+    The answer must be one JSON object with exactly the five contract keys, each of
+    its own JSON type: nothing is converted, fenced or trailing text is not JSON.
+    """
+    raw = F.col(raw) if isinstance(raw, str) else raw
+    not_object = F.array(F.lit("not_json_object"))
+
+    def judged(v: Column) -> Column:
+        broken = F.when(F.schema_of_variant(v).startswith("OBJECT<"), _violations(v, F.json_object_keys(raw)))
+        return F.struct(F.coalesce(broken, not_object).alias("broken"), _fields(v).alias("output"))
+
+    return let(F.try_parse_json(raw), judged)
+
+
+def validate_output(df: DataFrame, raw: str) -> DataFrame:
+    """Adds ``broken`` and ``output`` for one column of raw answers; ``output`` is null if any rule is."""
+    out = computed_once(df, *df.columns, _j=judge_output(raw))
+    return out.select(*df.columns, F.col("_j.broken").alias("broken"),
+                      F.when(F.size("_j.broken") == 0, F.col("_j.output")).alias("output"))
 
 
 def resolve_attempts(df: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """First valid answer of at most ``max_attempts``; the row's ``output`` is null if none is.
 
-    Adds ``output``, ``tries`` and, for failures, ``failed_rules``: the distinct rule
-    names the last answer broke, in order, never the answer's text.
+    Adds ``output`` and, for failures, ``failed_rules``: the distinct rule names the last
+    answer broke, in order, never the answer's text.
     """
-    tried = F.slice("attempts", 1, max_attempts)
-    # Unrolled over the few attempts: each answer is judged by one JVM expression.
-    judged = df.withColumn("_tried", tried)
-    for i in range(max_attempts):
-        judged = judged.withColumn(f"_raw{i}", F.get("_tried", F.lit(i)))
-        judged = judged.withColumn(f"_bad{i}", F.when(
-            F.col(f"_raw{i}").isNotNull(), output_violations(f"_raw{i}")))
-    chosen = F.coalesce(*[F.when(F.size(f"_bad{i}") == 0, F.col(f"_raw{i}")) for i in range(max_attempts)])
-    judged = judged.withColumn("_chosen", chosen)
-    last_bad = F.coalesce(*[F.col(f"_bad{i}") for i in reversed(range(max_attempts))])
-    return judged.select(
-        *df.columns,
-        F.when(F.col("_chosen").isNotNull(), parse_output("_chosen")).alias("output"),
-        F.when(F.col("_chosen").isNull(), F.array_distinct(
-            F.coalesce(last_bad, F.array(F.lit("no_answer"))))).alias("failed_rules"),
-    )
+    tried = F.transform(F.slice("attempts", 1, max_attempts), judge_output)
+    out = computed_once(df, *df.columns, _tried=tried)
+    good = F.get(F.filter("_tried", lambda j: F.size(j["broken"]) == 0), F.lit(0))
+    last = F.get("_tried", F.size("_tried") - 1)
+    none = F.array(F.lit("no_answer"))
+    out = computed_once(out, *df.columns, output=good["output"], _last=F.coalesce(last["broken"], none))
+    return out.select(*df.columns, "output", F.when(
+        F.col("output").isNull(), F.array_distinct("_last")).alias("failed_rules"))
 
 
 def scored_rows(resolved: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ The same view text serves Spark and the SQL oracle; they differ in integer divis
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertloom.functions.columns import source_key
+from alertloom.operators.scoring import rubric_label
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -90,10 +93,21 @@ HISTORY_SQL = f"""{ALERTS_SQL},
 
 ALLOWLIST = " 10.0.0.7, 10.0.0.111,,host-3 "
 
-# Class by rubric over the history columns, undecided rows informational at 0.5.
+# Some look-ups fail: their context is zeroed.  Class by rubric; undecided rows are informational
+# at 0.5; some events never get a valid answer.
 SCORED_SQL = f"""{HISTORY_SQL},
+ ctx as (
+  select * replace (
+      src_ip_seen_before and event_no % 23 <> 0 as src_ip_seen_before,
+      case when event_no % 23 = 0 then 0 else related_events_24h end as related_events_24h,
+      case when event_no % 23 = 0 then 0 else distinct_rules_from_src_24h end as distinct_rules_from_src_24h,
+      case when event_no % 23 = 0 then 0 else events_last_10min end as events_last_10min,
+      src_in_allowlist and event_no % 23 <> 0 as src_in_allowlist,
+      finding_seen_before and event_no % 23 <> 0 as finding_seen_before),
+    event_no % 23 = 0 as lookup_degraded
+  from history),
  ruled as (
-  select *, lower(coalesce(signature, rule_id, '')) as sig, case
+  select *, case
     when event_type in ('syscheck', 'rootcheck', 'fim') then
       case when regexp_matches(coalesce(file_path, ''), '/etc/passwd|/etc/shadow|/etc/sudoers|sshd_config|crontab') then 'alert'
            when regexp_matches(coalesce(file_path, ''), '/var/lib/dpkg/|/var/cache/apt/') then 'noise'
@@ -105,12 +119,33 @@ SCORED_SQL = f"""{HISTORY_SQL},
     when regexp_matches(lower(coalesce(signature, rule_id, '')), 'auth|login|ssh|brute') then
       case when related_events_24h >= 4 then 'alert' else 'informational' end
     when contains(coalesce(signature, ''), '[neutralized]') then 'alert' end as label
-  from history),
+  from ctx),
  scored as (
-  select * exclude (label, sig), label, coalesce(label, 'informational') as classification,
+  select *, coalesce(label, 'informational') as classification,
     case when label is null then 0.5 else 0.9 end as confidence,
-    case coalesce(label, 'informational') when 'alert' then 2 when 'informational' then 1 else 0 end as cls_rank
-  from ruled)"""
+    case coalesce(label, 'informational') when 'alert' then 2 when 'informational' then 1 else 0 end as cls_rank,
+    'Seen <b>' || summary || '</b> & more' as answer_summary,
+    case event_no % 3 when 0 then '' when 1 then 'Block ' || source else 'Check <host>|Rotate & report' end as actions,
+    'related_events_24h=' || cast(related_events_24h as varchar) as rationale
+  from ruled where event_no % 19 <> 0)"""
+
+
+def varied_scorer(df: DataFrame) -> DataFrame:
+    """Rubric classes with actions and markup; some first answers, and some whole rows, are invalid."""
+    label = rubric_label()
+    no = F.col("event_no")
+    actions = F.when(no % 3 == 0, F.array().cast("array<string>")).when(
+        no % 3 == 1, F.array(F.concat(F.lit("Block "), source_key()))).otherwise(
+        F.array(F.lit("Check <host>"), F.lit("Rotate & report")))
+    good = F.to_json(F.struct(
+        F.coalesce(label, F.lit("informational")).alias("classification"),
+        F.when(label.isNull(), 0.5).otherwise(0.9).alias("confidence"),
+        F.concat(F.lit("Seen <b>"), "summary", F.lit("</b> & more")).alias("summary"),
+        actions.alias("suggested_actions"),
+        F.concat(F.lit("related_events_24h="), F.col("context.related_events_24h").cast("string")).alias("rationale")))
+    bad = F.lit('{"classification":"alert"}')
+    return df.withColumn("attempts", F.when(no % 19 == 0, F.array(F.lit("not json"), bad)).when(
+        no % 19 == 1, F.array(bad, good)).otherwise(F.array(good)))
 
 
 def sessions_sql(gap_s: int, source: str = "scored") -> str:
@@ -136,7 +171,9 @@ DECIDED_SQL = f"""{SCORED_SQL},{sessions_sql(300)},
    severity_hint in ('high', 'critical') or confidence < 0.7 or classification = 'alert' as candidate from sessions),
  ranked as (select *, sum(case when candidate and not aged then 1 else 0 end) over (
    partition by signature_key, session_no order by us, event_no rows unbounded preceding) as hits from judged),
- decided as (select * exclude (hits), severity_hint as severity,
+ decided as (select *, severity_hint as severity,
+   session_seq = 1 as is_new_session, session_seq > 1 and cls_rank > opening_rank as escalated,
+   hits - case when candidate and not aged then 1 else 0 end > 0 as session_was_notified,
    case when aged then 'age_suppressed' when not candidate then 'not_candidate'
         when session_seq = 1 then 'new_session' when hits = 1 then 'intra_session_escalation'
         else 'suppressed' end as reason,
@@ -145,6 +182,7 @@ DECIDED_SQL = f"""{SCORED_SQL},{sessions_sql(300)},
      case when severe and classification = 'noise' then 'false_positive_candidate' end,
      case when not severe and unsure then 'low_confidence' end) end as flags
   from ranked)"""
+NOTIFIES = "reason in ('new_session', 'intra_session_escalation')"
 
 
 def decision_time():
