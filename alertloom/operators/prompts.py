@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertloom.functions.columns import iso_utc
+from alertloom.functions.columns import computed_once, iso_utc
 from alertloom.schemas import CONTEXT, UNIFIED_EVENT
 
 EVENT_MAX_BYTES = 8192
@@ -65,30 +65,28 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def canonical_text(c: Column) -> Column:
+def canonicalize(df: DataFrame, cols: list[str]) -> DataFrame:
     """Invisible characters dropped, NFKC, runs of spaces collapsed.
 
     NFKC has no JVM expression; only text with non-ASCII characters is handed to
     Python, every other row passes a null.
     """
-    visible = F.regexp_replace(c, _INVISIBLE, "")
-    folded = F.coalesce(_nfkc(F.when(visible.rlike(r"[^\x00-\x7F]"), visible)), visible)
-    return F.regexp_replace(folded, " {2,}", " ")
+    rest = [c for c in df.columns if c not in cols]
+    visible = {c: F.regexp_replace(c, _INVISIBLE, "") for c in cols}
+    out = computed_once(df, *rest, **visible)
+    out = out.withColumns({f"_{c}": _nfkc(F.when(F.col(c).rlike(r"[^\x00-\x7F]"), F.col(c))) for c in cols})
+    folded = {c: F.regexp_replace(F.coalesce(f"_{c}", c), " {2,}", " ") for c in cols}
+    return computed_once(out, *rest, **folded).select(*df.columns)
 
 
 def screen_text(df: DataFrame, cols: list[str]) -> DataFrame:
     """Replaces every injection trigger in ``cols``; adds ``<col>_hits``, how many there were."""
     pattern = trigger_pattern()
-    out = df.withColumns({c: canonical_text(F.col(c)) for c in cols})
-    return out.withColumns(
+    return canonicalize(df, cols).withColumns(
         {f"{c}_hits": F.regexp_count(c, F.lit(pattern)) for c in cols}
         | {c: F.regexp_replace(c, pattern, NEUTRAL) for c in cols})
 
 
-def _screen(c: Column) -> Column:
-    return F.regexp_replace(canonical_text(c), trigger_pattern(), NEUTRAL)
-
-
 def event_json(df: DataFrame) -> Column:
     """Compact JSON of the event's non-null contract columns, in contract order."""
     parts = []
@@ -133,7 +131,7 @@ def cap_event_json(df: DataFrame, max_bytes: int = EVENT_MAX_BYTES) -> DataFrame
     def shrink(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else shrink_json(t, max_bytes))
 
-    out = df.withColumn("_json", event_json(df)).withColumn("event_bytes", F.octet_length("_json"))
+    out = computed_once(df, *df.columns, _json=event_json(df)).withColumn("event_bytes", F.octet_length("_json"))
     over = F.col("event_bytes") > max_bytes
     out = out.withColumn("_short", shrink(F.when(over, F.col("_json"))))
     return out.withColumns({
@@ -151,13 +149,15 @@ def build_user_message(df: DataFrame, max_bytes: int = EVENT_MAX_BYTES) -> DataF
 
     A context over its cap is a fault upstream and fails the job.
     """
-    out = cap_event_json(df, max_bytes).withColumn("_ctx", context_json())
-    out = out.withColumn("_ctx", F.when(F.octet_length("_ctx") <= CONTEXT_MAX_BYTES, F.col("_ctx")).otherwise(
-        F.raise_error(F.format_string("context exceeds %d bytes", F.lit(CONTEXT_MAX_BYTES)))))
+    out = computed_once(cap_event_json(df, max_bytes), *df.columns, "event_bytes", "oversize",
+                        _event=F.col("event_json"), _ctx=context_json())
+    fits = F.octet_length("_ctx") <= CONTEXT_MAX_BYTES
+    out = out.withColumn("_ctx", F.when(fits, F.col("_ctx")).otherwise(
+        F.raise_error(F.lit(f"context exceeds {CONTEXT_MAX_BYTES} bytes"))))
+    out = screen_text(out, ["_event", "_ctx"])
     message = F.concat(
-        F.lit("<alert_data>\n"), _screen(F.col("event_json")), F.lit("\n</alert_data>\n<context>\n"),
-        _screen(F.col("_ctx")), F.lit("\n</context>"))
-    return out.withColumn("user_message", message).drop("_ctx")
+        F.lit("<alert_data>\n"), "_event", F.lit("\n</alert_data>\n<context>\n"), "_ctx", F.lit("\n</context>"))
+    return out.select(*df.columns, "event_bytes", "oversize", message.alias("user_message"))
 
 
 def prompt_fingerprint(prompt: str) -> Column:

@@ -4,24 +4,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.operators.dataset import (
-    chat_records, degrade_context, inject_adversarial, map_native_label, stratified_split)
+    chat_records, degrade_context, inject_adversarial, stratified_split, with_native_class)
 from alertloom.operators.prompts import build_user_message
 from alertloom.operators.scoring import rubric_label
+from alertloom.schemas import MODEL_OUTPUT
+from alertloom.session import stage
 
 
 def label_rows(rows: DataFrame) -> DataFrame:
     """``classification`` from the native label, else from the rubric; undecided rows drop."""
     has_label = F.coalesce(F.col("native_label"), F.lit("")) != ""
-    native = map_native_label(rows.where(has_label))
-    ruled = rows.where(~has_label).withColumn("classification", rubric_label()).where("classification is not null")
-    return native.unionByName(ruled)
+    native = with_native_class(rows)
+    return native.withColumn(
+        "classification", F.when(has_label, F.col("classification")).otherwise(rubric_label())
+    ).where("classification is not null")
 
 
 def build_dataset(rows: DataFrame, system_prompt: str, seed: int = 42, adversarial_percent: int = 0,
-                  degraded_percent: int = 20, rationale: str = "labelled example") -> DataFrame:
+                  degraded_percent: int = 20, rationale: str = "labelled example", staged: bool = True) -> DataFrame:
     """(event_id, classification, split, messages) from the rows of a labelled source.
 
-    Rows that break the event contract are left out, as are excluded labels.
+    Rows that break the event contract are left out, as are excluded labels and events
+    that no cut brings under the byte cap.  The split needs the class sizes first, so
+    ``staged`` writes the assembled rows once instead of assembling them twice.
     """
     rows = label_rows(rows.where(F.size("violations") == 0).drop("violations"))
     rows = degrade_context(rows, seed, degraded_percent)
@@ -37,5 +42,6 @@ def build_dataset(rows: DataFrame, system_prompt: str, seed: int = 42, adversari
     answered = rows.withColumns({
         "confidence": F.lit(0.9), "summary": F.substring("summary", 1, 200),
         "suggested_actions": F.array().cast("array<string>"), "rationale": F.lit(rationale)})
-    split = stratified_split(answered, seed=seed)
+    answered = answered.select("event_id", "classification", "user_message", *MODEL_OUTPUT.names[1:])
+    split = stratified_split(stage(answered, "labelled") if staged else answered, seed=seed)
     return chat_records(split, system_prompt).select("event_id", "classification", "split", "messages")

@@ -19,7 +19,8 @@ def read_labelled_csv(spark: SparkSession, path: str, now: datetime | Column, so
     belong to their field; where a source has none, ``multi_line=False`` lets Spark split
     large files.
     """
-    rows = spark.read.options(header=True, multiLine=multi_line, escape='"', inferSchema=False).csv(path)
+    rows = spark.read.options(header=True, multiLine=multi_line, escape='"', inferSchema=False,
+                              ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     if source == "public":
         rows = remap_csv_rows(rows)
     elif source != "raw":
