@@ -8,19 +8,27 @@ from pyspark.sql import functions as F
 MICROS = 1_000_000
 
 
+def computed_once(df: DataFrame, *keep: str, **cols: Column) -> DataFrame:
+    """``keep`` plus ``cols``, each evaluated once per row.
+
+    Above the projection stands a generator of one row over its results: the optimizer
+    copies a projection's expressions neither into later filters nor into later
+    projections across it.  The expressions themselves stay in a compiled projection.
+    """
+    held = df.select(*keep, *[c.alias(f"_once_{n}") for n, c in cols.items()])
+    row = F.struct(*[F.col(f"_once_{n}").alias(n) for n in cols])
+    return held.select(*keep, F.inline(F.array(row)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over a value that is computed once, however often ``body`` mentions it."""
+    """``body`` over a value that is computed once, inside another lambda's body."""
     return F.transform(F.array(value), body)[0]
 
 
-def computed_once(df: DataFrame, *keep: str | Column, **cols: Column) -> DataFrame:
-    """``keep`` plus ``cols``, each evaluated once per row.
-
-    A generator of one row: the optimizer copies neither a projection's expressions into
-    later filters nor into later projections across it.
-    """
-    row = F.struct(*[c.alias(n) for n, c in cols.items()])
-    return df.select(*keep, F.inline(F.array(row)))
+def present(*names: Column) -> Column:
+    """The non-null names (without commas) as an array; unlike a lambda filter it compiles."""
+    text = F.concat_ws(",", *names)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ","))
 
 
 def micros(ts: str | Column) -> Column:

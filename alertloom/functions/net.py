@@ -3,8 +3,6 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from alertloom.functions.columns import let
-
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _H = r"[0-9a-fA-F]{1,4}"
@@ -20,14 +18,12 @@ def _address(c: Column) -> Column:
 
 def is_ipv6(c: Column) -> Column:
     """Eight groups, or fewer with one '::'; the tail may be dotted IPv4; a zone may follow."""
-    def shaped(hexed: Column) -> Column:
-        full = hexed.rlike(rf"^{_H}(?::{_H}){{7}}$")
-        short = hexed.rlike(rf"^(?:{_H}(?::{_H})*)?::(?:{_H}(?::{_H})*)?$")
-        return full | (short & (F.size(F.filter(F.split(hexed, ":"), lambda g: g != "")) <= 7))
-
     # A dotted tail counts as two groups.
     hexed = F.regexp_replace(_address(c), rf"{_V4}$", "0:0")
-    return let(hexed, shaped) & (~c.contains("%") | c.rlike(r"^[^%]+%[^%]+$"))
+    full = hexed.rlike(rf"^{_H}(?::{_H}){{7}}$")
+    short = hexed.rlike(rf"^(?:{_H}(?::{_H})*)?::(?:{_H}(?::{_H})*)?$")
+    groups = F.size(F.array_remove(F.split(hexed, ":"), ""))
+    return (full | (short & (groups <= 7))) & (~c.contains("%") | c.rlike(r"^[^%]+%[^%]+$"))
 
 
 def is_ip(c: Column) -> Column:
@@ -42,27 +38,25 @@ def _v4_tail_as_hex(addr: Column) -> Column:
 
 
 def _groups(addr: Column) -> Column:
-    """The eight groups of an IPv6 address without zone, leading zeros dropped."""
+    """The eight colon-joined groups of an IPv6 address without zone, leading zeros dropped."""
     halves = F.split(addr, "::")
-    left = F.filter(F.split(halves[0], ":"), lambda g: g != "")
-    right = F.filter(F.split(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), ":"), lambda g: g != "")
+    left = F.array_remove(F.split(halves[0], ":"), "")
+    right = F.array_remove(F.split(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), ":"), "")
     zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)).cast("int"))
-    return F.transform(F.concat(left, zeros, right), lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
+    joined = F.array_join(F.concat(left, zeros, right), ":")
+    return F.regexp_replace(joined, "(^|:)0+(?=[0-9a-f])", "$1")
 
 
 def _squeeze(flat: Column) -> Column:
     """Colon-joined groups with the first longest run of two or more zeros as '::'."""
-    out = flat
-    for n in range(2, 9):  # the longest run that is found decides
-        run = rf"^(|.*?:)0(?::0){{{n - 1}}}(|:.*)$"
-        out = F.when(flat.rlike(run), F.regexp_replace(F.regexp_replace(flat, run, "$1::$2"), ":{3,}", "::")).otherwise(out)
-    return out
+    for n in range(8, 1, -1):  # after one replacement no shorter run is looked for
+        flat = F.regexp_replace(flat, rf"^(?!.*::)(|.*?:)0(?::0){{{n - 1}}}(|:.*)$", "$1::$2")
+    return F.regexp_replace(flat, ":{3,}", "::")
 
 
 def canonical_ip(c: Column) -> Column:
     """IPv4 unchanged; IPv6 lower case, leading zeros dropped, first longest zero run as '::'."""
-    v6 = let(_v4_tail_as_hex(F.lower(_address(c))),
-             lambda addr: let(F.array_join(_groups(addr), ":"), _squeeze))
+    v6 = _squeeze(_groups(_v4_tail_as_hex(F.lower(_address(c)))))
     zone = F.when(c.contains("%"), F.concat(F.lit("%"), F.substring_index(c, "%", -1))).otherwise("")
     return F.when(~c.contains(":"), c).when(is_ipv6(c), F.concat(v6, zone)).otherwise(c)
 

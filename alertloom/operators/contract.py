@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertloom.functions.columns import computed_once
+from alertloom.functions.columns import computed_once, present
 from alertloom.functions.net import is_ip
 from alertloom.schemas import REQUIRED_EVENT_COLUMNS, SCHEMA_VERSION
 
@@ -32,8 +32,11 @@ def _named(condition: Column, name: str) -> Column:
     return F.when(condition, F.lit(name))
 
 
-def event_violations(check_fields: bool = True) -> Column:
-    """Array of broken rules.  ``check_fields`` needs Python; skip it where no source sets fields."""
+def event_violations(check_fields: bool = True, *also: Column) -> Column:
+    """Array of broken rules, with ``also`` names of a source's own rules.
+
+    ``check_fields`` needs Python; skip it where no source sets fields.
+    """
     rules = [
         _named(F.col(c).isNull(), f"{c}_missing")
         for c in REQUIRED_EVENT_COLUMNS if c not in ("timestamp", "schema_version", "summary")
@@ -50,7 +53,7 @@ def event_violations(check_fields: bool = True) -> Column:
         size = fields_bytes(F.col("fields"))
         rules.append(_named(size < 0, "fields_not_object"))
         rules.append(_named(size > FIELDS_MAX_BYTES, "fields_too_large"))
-    return F.filter(F.array(*rules), lambda v: v.isNotNull())
+    return present(*rules, *also)
 
 
 def validate_events(df: DataFrame, check_fields: bool = True) -> DataFrame:

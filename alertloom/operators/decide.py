@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.functions.columns import severity_of
+from alertloom.functions.columns import present, severity_of
 from alertloom.operators.sessions import GAP_S, sessionize
 
 CONFIDENCE_THRESHOLD = 0.7
@@ -30,11 +30,11 @@ def decide(scored: DataFrame, now: datetime | Column, threshold: float = CONFIDE
     unsure = F.col("confidence") < threshold
     aged = _age_seconds(now) > max_age_s
     candidate = severe | unsure | (F.col("classification") == "alert")
-    flags = F.when(aged, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(
+    flags = F.when(aged, F.array().cast("array<string>")).otherwise(present(
         F.when(severe, F.lit("severity_floor")),
         F.when(severe & (F.col("classification") == "noise"), F.lit("false_positive_candidate")),
         F.when(~severe & unsure, F.lit("low_confidence")),
-    )))
+    ))
     folded = sessionize(scored, gap_s, eligible=candidate & ~aged, open_sessions=open_sessions)
     reason = (
         F.when(aged, "age_suppressed")

@@ -43,8 +43,13 @@ def _host_key(sensor: Column) -> Column:
 
 
 def _exploded(df: DataFrame, rows: list[Column], *keep: str) -> DataFrame:
-    """Each input row as the non-null structs of ``rows``: one scan, several output rows."""
-    return df.select(*keep, F.inline(F.array_compact(F.array(*rows))))
+    """Each input row as the non-null structs of ``rows``: one scan, several output rows.
+
+    Null structs come out as rows without the struct's first column and are filtered there:
+    that compiles, where a lambda filter on the array would not.
+    """
+    first = df.select(rows[0].alias("s")).schema["s"].dataType.names[0]
+    return df.select(*keep, F.inline(F.array(*rows))).where(F.col(first).isNotNull())
 
 
 def _history_rows(history: DataFrame, with_probes: bool) -> DataFrame:
@@ -269,18 +274,21 @@ def _every_salt(df: DataFrame) -> DataFrame:
 
 
 def finding_recurrence(events: DataFrame, triaged: DataFrame | None = None,
-                       split_s: int = DAY_S) -> DataFrame:
+                       among: DataFrame | None = None, split_s: int = DAY_S) -> DataFrame:
     """Adds ``finding_seen_before``: a finding whose alert id was triaged for another event.
 
     Events see earlier ones among themselves, in (time, event_id) order, and any row of
     another event in ``triaged`` (alert_id, event_id).  Both look-ups are answered from a
     summary per alert id; the event side is spread over (alert id, day), or over salted
-    copies, so a finding repeated without end does not land in one task.
+    copies, so a finding repeated without end does not land in one task.  ``among`` is
+    the source of ``events`` when these are the result of earlier steps: the summary is
+    then taken from there instead of running those steps twice.
     """
     us = micros("timestamp")
     spot = F.struct(us.alias("us"), F.col("event_id").alias("id"))
     day = cell_of(us, split_s * MICROS)
-    firsts = events.groupBy("source_alert_id", day.alias("_day")).agg(F.min(spot).alias("_first"))
+    among = events if among is None else among
+    firsts = among.groupBy("source_alert_id", day.alias("_day")).agg(F.min(spot).alias("_first"))
     upto = Window.partitionBy("source_alert_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
     firsts = firsts.withColumn("_first", F.min("_first").over(upto))
     joined = events.withColumn("_day", day).join(firsts, ["source_alert_id", "_day"], "left")
@@ -368,6 +376,6 @@ def enrich(events: DataFrame, history: DataFrame | None, triaged: DataFrame | No
     if history is None:
         return events.withColumn("context", zeroed_context())
     out = history_counts(events, history, past_slots=past_slots)
-    out = finding_recurrence(out, triaged)
+    out = finding_recurrence(out, triaged, among=events)
     out = allowlisted(out, allowlist)
     return out.withColumn("context", context_struct(degraded)).select(*events.columns, "context")

@@ -74,8 +74,8 @@ def normalize_alerts(raw: DataFrame) -> DataFrame:
     typed = {f.name: cols.get(f.name, nothing).cast(f.dataType) for f in UNIFIED_EVENT}
     bad_level = F.col("rule.level").isNotNull() & F.col("rule.level").try_cast("int").isNull()
     out = computed_once(raw, **typed, _bad_level=bad_level)
-    found = F.array_append(event_violations(check_fields=False), F.when(F.col("_bad_level"), "level_not_integer"))
-    return computed_once(out, *UNIFIED_EVENT.names, violations=F.array_compact(found))
+    found = event_violations(False, F.when(F.col("_bad_level"), "level_not_integer"))
+    return computed_once(out, *UNIFIED_EVENT.names, violations=found)
 
 
 Normalizer = Callable[[DataFrame], DataFrame]

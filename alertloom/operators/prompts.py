@@ -51,13 +51,24 @@ TRIGGERS = (
 _INVISIBLE = "[\\u00AD\\u200B-\\u200F\\u2060-\\u2064\\uFEFF]"
 
 
+def _branches(words: list[str]) -> str:
+    """Pattern for any of ``words``, common beginnings stated once, blanks allowed between characters."""
+    out = []
+    for first in dict.fromkeys(w[0] for w in words):
+        rests = [w[1:] for w in words if w[0] == first]
+        out.append(re.escape(first) + ("" if rests == [""] else " ?+" + _branches(rests)))
+    return out[0] if len(out) == 1 else "(?:" + "|".join(out) + ")"
+
+
 def trigger_pattern() -> str:
     """Any trigger, in any case, with at most one space before each character.
 
-    Runs of spaces are collapsed first, so one optional space covers every spacing.
+    Runs of spaces are collapsed first, so one optional space covers every spacing; no
+    trigger begins another.  A look at the first character rejects most positions.
     """
-    spaced = ("".join(" ?" + re.escape(ch) for ch in t if ch != " ") for t in TRIGGERS)
-    return "(?i)(?:" + "|".join(spaced) + ")"
+    words = [t.replace(" ", "") for t in TRIGGERS]
+    firsts = "".join(re.escape(c) + (c.upper() if c.isalpha() else "") for c in dict.fromkeys(w[0] for w in words))
+    return f"(?i) ?+(?=[{firsts}]){_branches(words)}"
 
 
 @F.pandas_udf(T.StringType())
@@ -69,14 +80,19 @@ def canonicalize(df: DataFrame, cols: list[str]) -> DataFrame:
     """Invisible characters dropped, NFKC, runs of spaces collapsed.
 
     NFKC has no JVM expression; only text with non-ASCII characters is handed to
-    Python, every other row passes a null.
+    Python, every other row passes a null.  Plain ASCII text costs two length and
+    substring tests.
     """
     rest = [c for c in df.columns if c not in cols]
-    visible = {c: F.regexp_replace(c, _INVISIBLE, "") for c in cols}
-    out = computed_once(df, *rest, **visible)
-    out = out.withColumns({f"_{c}": _nfkc(F.when(F.col(c).rlike(r"[^\x00-\x7F]"), F.col(c))) for c in cols})
-    folded = {c: F.regexp_replace(F.coalesce(f"_{c}", c), " {2,}", " ") for c in cols}
-    return computed_once(out, *rest, **folded).select(*df.columns)
+
+    def visible(c: str) -> Column:
+        return F.when(F.octet_length(c) != F.length(c), F.regexp_replace(c, _INVISIBLE, ""))
+
+    out = computed_once(df, *df.columns, **{f"_{c}_wide": visible(c) for c in cols})
+    out = out.withColumns({f"_{c}_nfkc": _nfkc(F.col(f"_{c}_wide")) for c in cols})
+    out = computed_once(out, *rest, **{c: F.coalesce(f"_{c}_nfkc", c) for c in cols})
+    spaced = {c: F.when(F.contains(c, F.lit("  ")), F.regexp_replace(c, " {2,}", " ")).otherwise(F.col(c)) for c in cols}
+    return computed_once(out, *rest, **spaced).select(*df.columns)
 
 
 def screen_text(df: DataFrame, cols: list[str]) -> DataFrame:

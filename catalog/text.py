@@ -1,10 +1,13 @@
 """Queries over prompt text: screening, byte caps, assembly."""
 
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 from alertloom.operators.history import zeroed_context
 from alertloom.operators.prompts import (
-    build_user_message, cap_event_json, prompt_fingerprint, require_prompt, screen_text, trigger_pattern)
+    TRIGGERS, build_user_message, cap_event_json, require_prompt, screen_text)
 from catalog.base import ALERTS_SQL, alerts, table
 
 # Salted rows: plain, shouting and spaced, zero-width, full-width, delimiters, clean.
@@ -76,7 +79,6 @@ PROMPT = "Classify one alert and answer with one JSON object."
 
 
 def fingerprint(spark, d):
-    import hashlib
     expected = hashlib.sha256(PROMPT.encode()).hexdigest()
     return require_prompt(alerts(spark, d).select("event_id"), PROMPT, expected)
 
@@ -92,7 +94,8 @@ QUERIES = {
     "prompt_fingerprint": fingerprint,
 }
 
-_PAT = trigger_pattern().replace("'", "''")
+# Written out plainly, one alternative per trigger.
+_PAT = "(?i)(?:" + "|".join("".join(" ?" + re.escape(ch) for ch in t if ch != " ") for t in TRIGGERS) + ")"
 
 
 def _q(s):
