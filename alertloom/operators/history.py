@@ -42,14 +42,13 @@ def _host_key(sensor: Column) -> Column:
     return F.concat(F.lit("h|"), sensor)
 
 
-def _exploded(df: DataFrame, rows: list[Column], *keep: str) -> DataFrame:
+def _exploded(df: DataFrame, rows: list[Column], required: str, *keep: str) -> DataFrame:
     """Each input row as the non-null structs of ``rows``: one scan, several output rows.
 
-    Null structs come out as rows without the struct's first column and are filtered there:
+    Null structs come out as rows without their ``required`` column and are filtered there:
     that compiles, where a lambda filter on the array would not.
     """
-    first = df.select(rows[0].alias("s")).schema["s"].dataType.names[0]
-    return df.select(*keep, F.inline(F.array(*rows))).where(F.col(first).isNotNull())
+    return df.select(*keep, F.inline(F.array(*rows))).where(F.col(required).isNotNull())
 
 
 def _history_rows(history: DataFrame, with_probes: bool) -> DataFrame:
@@ -88,7 +87,7 @@ def _slot_parts(rows: DataFrame, slot_us: int, counted: bool, probing: bool) ->
             parts.append(F.when(F.col("rule").isNull(), part("own", "wanted", F.lit(0), 1, F.lit(None))))
     else:
         parts.append(part("own", "wanted", n, 1, used))
-    return _exploded(rows.withColumn("slot", cell_of(us, slot_us)), parts, "slot")
+    return _exploded(rows.withColumn("slot", cell_of(us, slot_us)), parts, "key", "slot")
 
 
 def _fold_slots(parts: DataFrame) -> DataFrame:
@@ -144,7 +143,7 @@ def _edge_steps(rows: DataFrame, counted: bool, probing: bool) -> DataFrame:
             F.when(other.isNotNull(), _step(other, later[0], burst=-1, **nothing)),
             F.when(other.isNotNull() & rule.isNotNull(), _step(other, later[1], rule, related=-1, **nothing)),
         ]
-    return _exploded(rows, steps)
+    return _exploded(rows, steps, "key")
 
 
 def _carried_steps(slots: DataFrame, slot_us: int) -> DataFrame:
@@ -173,7 +172,7 @@ def _carried_steps(slots: DataFrame, slot_us: int) -> DataFrame:
                F.when(present, F.col("first_us"))),
          F.when(present, spell(cell_of(F.col("out_us"), slot_us), zero, zero, F.lit(None).cast("long"),
                                F.lit(-1), F.col("out_us")))],
-        "key", "rule", "d_related")
+        "slot", "key", "rule", "d_related")
     by_slot = Window.partitionBy("key").orderBy("slot")
     before = by_slot.rangeBetween(Window.unboundedPreceding, -1)
     spells = spells.select(
@@ -192,7 +191,7 @@ def _carried_steps(slots: DataFrame, slot_us: int) -> DataFrame:
         F.when(F.col("d") != 0, _step(key, F.col("us"), rules=F.col("d"))),
         F.when(once, _step(key, start, burst=F.col("burst"), rules=F.col("rules"), seen=F.col("seen"))),
         F.when(asked, _step(key, start, F.col("rule"), related=F.col("d_related"))),
-    ], "slot")
+    ], "key", "slot")
 
 
 def edge_slots(first_us: Column, last_us: Column, at: Column, slot_s: int = SLOT_S) -> Column:

@@ -69,13 +69,13 @@ def _successors(t: np.ndarray, window_us: int) -> np.ndarray:
     return np.searchsorted(t, t + window_us, side="left")
 
 
-def _entry_exit(t: np.ndarray, window_us: int, block_us: int) -> tuple[np.ndarray, np.ndarray]:
+def _entry_exit(t: np.ndarray, window_us: int) -> tuple[np.ndarray, np.ndarray]:
     """Last anchor of the chain for every distinct outcome, with the latest entry that has it."""
     n = len(t)
     jump = np.append(_successors(t, window_us), n)
-    # A chain can only enter at a time up to one window into the block, or at the first
-    # notice after that when there is none before.
-    edge = t[0] - t[0] % block_us + window_us
+    # The open window started no later than the block's first notice, so the chain enters
+    # at most one window after that notice, or at the first notice beyond.
+    edge = t[0] + window_us
     entries = np.arange(min(int(np.searchsorted(t, edge, side="left")) + 1, n))
     at = entries.copy()
     while True:
@@ -142,7 +142,7 @@ def coalesce_notices(notices: DataFrame, key: list[str] | None = None, at: str =
     def outcomes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows():
             for k, block, t in _by_block(batches, "us"):
-                for upto, leave in zip(*_entry_exit(t, window_us, block_us)):
+                for upto, leave in zip(*_entry_exit(t, window_us)):
                     yield k, block, int(upto), int(leave)
 
         return _batched(rows(), ["k", "block", "upto", "exit"])
@@ -178,6 +178,10 @@ def coalesce_notices(notices: DataFrame, key: list[str] | None = None, at: str =
         return F.to_json(F.struct(*[df[c] for c in key]), {"ignoreNullFields": "false"}).alias("k")
 
     rows = notices.select(packed(notices), micros(at).alias("us"))
+    if open_windows is not None:
+        # A late notice counts towards the open window, as if it came at the window's start.
+        starts = open_windows.select(packed(open_windows), micros("opened_at").alias("_start"))
+        rows = rows.join(starts, "k", "left").select("k", F.greatest("us", "_start").alias("us"))
     rows = rows.withColumn("block", cell_of(F.col("us"), block_us))
     outcomes = (
         rows.repartition("k", "block").sortWithinPartitions("k", "block", "us")

@@ -155,7 +155,8 @@ class TriageStream:
             F.bool_or("notified").alias("notified"))
         latest = sessions.groupBy("signature").agg(
             F.max_by(F.struct(*SESSIONS.names[1:]), "last_us").alias("s")).select("signature", "s.*")
-        horizon = sessions.agg(F.max("last_us").alias("_newest"))
+        newest = sessions.agg(F.max("last_us")).first()[0]
+        if newest is None:
+            return latest
         keep_us = (self.gap_s + self.lateness_s) * MICROS
-        return latest.crossJoin(F.broadcast(horizon)).where(
-            F.col("last_us") >= F.col("_newest") - keep_us).select(*SESSIONS.names)
+        return latest.where(F.col("last_us") >= newest - keep_us)

@@ -13,6 +13,7 @@ from alertloom.operators.sessions import incident_rollup, sessionize
 from alertloom.plans.triage import notice_outbox, notification_outbox, triage
 from alertloom.schemas import CONTEXT, NOTIFICATION
 from alertloom.streaming.windows import session_windows
+from catalog.ingest import _NORMAL_SQL, normalized
 from catalog.base import (
     ALERTS_SQL, ALLOWLIST, DECIDED_SQL, NOTIFIES, SCORED_SQL, alerts, decision_time,
     micros_of, sessions_sql, table, varied_scorer)
@@ -162,7 +163,6 @@ def health_outbox(spark, d):
 
 
 def counters(spark, d):
-    from catalog.ingest import normalized
     r = run(spark, d)
     return pipeline_counters(normalized(spark, d), r.resolved, r.decided)
 
@@ -302,6 +302,17 @@ ORACLES = {
         union all select 'age_suppressed', sensor, severity_hint, 'age_suppressed', null, null, us from decided where reason = 'age_suppressed')
       select kind, sensor, severity, reason, retry_count, detail, count(*) as notices, min(us) as first_at
       from all_notices group by all""",
+    "pipeline_counters": f"""with {DECIDED_SQL}, {_NORMAL_SQL}, c as (
+        select 'soc_collector_published_total' as name, '' as label, '' as label_value from normal where violations = ''
+        union all select 'soc_collector_quarantined_total', '', '' from normal where violations <> ''
+        union all select 'soc_classify_total', 'outcome', case when event_no % 19 = 0 then 'parse_failure' else 'success' end from alerts
+        union all select 'soc_events_processed_total', 'outcome', case when event_no % 19 = 0 then 'dead_letter' else 'success' end from alerts
+        union all select 'soc_deadletter_total', 'reason', 'parse_failure' from alerts where event_no % 19 = 0
+        union all select 'soc_enrichment_failures_total', '', '' from ctx where lookup_degraded
+        union all select 'soc_group_total', 'action', case when is_new_session then 'new_session' else 'folded' end from decided
+        union all select 'soc_notify_total', 'decision', case when {NOTIFIES} then 'notified' else 'suppressed' end from decided
+        union all select 'soc_notify_age_suppressed_total', 'source_module', 'wazuh' from decided where reason = 'age_suppressed')
+      select name, label, label_value, count(*) as count from c group by all""",
     "coalesced_notices": f"with recursive {ALERTS_SQL},{_coalesced(60)} select reason, sensor, at_us as fired_at, fired as count from chain where fired is not null",
     "coalesced_notices_6h": f"with recursive {ALERTS_SQL},{_coalesced(6 * 3600)} select reason, sensor, at_us as fired_at, fired as count from chain where fired is not null",
     "open_notice_windows": f"""with recursive {ALERTS_SQL},{_coalesced(6 * 3600)}
