@@ -35,6 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     tests) a temporary folder is made, and removed again when the process ends.
     """
     configured = spark.conf.get(_DIR_KEY, None) or spark.sparkContext.getConf().get(_DIR_KEY)
+    configured = configured or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     master = spark.sparkContext.master
