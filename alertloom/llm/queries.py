@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import simhash
+from alertloom.llm import mixture_packing, simhash
 from alertloom.llm.rows import hex64
 
 
@@ -16,8 +16,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
 
 
+def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_packing.pack(_table(spark, sf_dir, "documents"), length=2048, with_ids=False)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op9_mixture_packing": op9_mixture_packing,
 }
 
 ORACLES: dict[str, str] = {}
