@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import mixture_packing, simhash
+from alertloom.llm import mixture_packing, relative_lz, simhash
 from alertloom.llm.rows import hex64
 
 
@@ -16,12 +16,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
 
 
+def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = relative_lz.repeated_words(_table(spark, sf_dir, "documents"), window=50)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packing.pack(_table(spark, sf_dir, "documents"), length=2048, with_ids=False)
 
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_relative_lz": op3_relative_lz,
     "op9_mixture_packing": op9_mixture_packing,
 }
 
