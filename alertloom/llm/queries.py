@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import mixture_packing, relative_lz, simhash
+from alertloom.llm import mixture_packing, relative_lz, simhash, toxicity, url_filter, wu_manber
 from alertloom.llm.rows import hex64
 
 
@@ -21,6 +21,29 @@ def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "rejected")
+
+
+URL_RULES = [url_filter.Rule("allow", "com"), url_filter.Rule("block", "example.com", "/en/"),
+             url_filter.Rule("allow", "www.example.com", "/en/"), url_filter.Rule("block", "net", "/es/"),
+             url_filter.Rule("block", "net", "/fr/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wu_manber.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packing.pack(_table(spark, sf_dir, "documents"), length=2048, with_ids=False)
 
@@ -28,7 +51,33 @@ def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_relative_lz": op3_relative_lz,
+    "op4_toxicity": op4_toxicity,
+    "op5_url_filter": op5_url_filter,
+    "op6_wu_manber": op6_wu_manber,
     "op9_mixture_packing": op9_mixture_packing,
 }
 
-ORACLES: dict[str, str] = {}
+# A-Z lower-cased, then runs of ASCII letters, digits and non-ASCII characters.
+_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP6_SQL = f"""
+with d as (select doc_id, coalesce({_WORDS}, []) as w from documents),
+ b as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
+ patterns as (select distinct item, least(10, len(w)) as m, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') as k
+   from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as p from b where len(w) > 0)),
+ lengths as (select distinct m from patterns),
+ places as (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as p from d, lengths where len(w) >= m),
+ found as (select doc_id, p, x.m, item from (select *, array_to_string(w[p:p + m - 1], ' ') as k from places) x
+   join patterns on x.m = patterns.m and x.k = patterns.k),
+ hit as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + m)) as q from found) group by 1),
+ items as (select doc_id, count(distinct item) as n_items, array_to_string(list_sort(list(distinct item)), ',') as s
+   from found group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join items using (doc_id)"""
+
+ORACLES: dict[str, str] = {
+    "op5_url_filter": url_filter.judge_sql(URL_RULES),
+    "op6_wu_manber": OP6_SQL,
+}
