@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import mixture_packing, relative_lz, simhash, toxicity, url_filter, wu_manber
+from alertloom.llm import line_blocks, mixture_packing, rare_features, relative_lz, simhash, toxicity, url_filter, wu_manber
 from alertloom.llm.rows import hex64
 
 
@@ -44,6 +44,14 @@ def op6_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_blocks.extract(_table(spark, sf_dir, "pages"))
+
+
+def op8_rare_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rare_features.edit_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packing.pack(_table(spark, sf_dir, "documents"), length=2048, with_ids=False)
 
@@ -54,6 +62,8 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
     "op6_wu_manber": op6_wu_manber,
+    "op7_line_blocks": op7_line_blocks,
+    "op8_rare_features": op8_rare_features,
     "op9_mixture_packing": op9_mixture_packing,
 }
 
