@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import line_blocks, mixture_packing, rare_features, relative_lz, simhash, toxicity, url_filter, wu_manber
+from alertloom.llm import (
+    best_fit, licenses, line_blocks, mixture_packing, rare_features, relative_lz, simhash, toxicity, url_filter, wu_manber)
 from alertloom.llm.rows import hex64
 
 
@@ -16,6 +17,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
 
 
+def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(_table(spark, sf_dir, "documents"), length=2048)
+
+
 def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = relative_lz.repeated_words(_table(spark, sf_dir, "documents"), window=50)
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -56,8 +61,13 @@ def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packing.pack(_table(spark, sf_dir, "documents"), length=2048, with_ids=False)
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_best_fit": op2_best_fit,
     "op3_relative_lz": op3_relative_lz,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
@@ -65,6 +75,7 @@ QUERIES = {
     "op7_line_blocks": op7_line_blocks,
     "op8_rare_features": op8_rare_features,
     "op9_mixture_packing": op9_mixture_packing,
+    "op10_licenses": op10_licenses,
 }
 
 # A-Z lower-cased, then runs of ASCII letters, digits and non-ASCII characters.
@@ -90,4 +101,5 @@ from d left join hit using (doc_id) left join items using (doc_id)"""
 ORACLES: dict[str, str] = {
     "op5_url_filter": url_filter.judge_sql(URL_RULES),
     "op6_wu_manber": OP6_SQL,
+    "op10_licenses": licenses.scan_sql(licenses.BASE + licenses.NOTICES, _WORDS),
 }
