@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField
 
-from alertloom.llm.rows import arrow_map, as_bytes, fields, sliced
+from alertloom.llm.rows import arrow_map, as_bytes, fields, sliced, unwrapped, wrapped
 from alertloom.session import stage
 
 GRAM = 8
@@ -124,9 +124,8 @@ BROADCAST_ROWS = 1_000_000
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds ``_id`` and ``_key``, which together name a row (equal rows share them and are treated alike)."""
-    return docs.select("*", docs[id_col].alias("_id"), F.xxhash64(docs[id_col], docs[text_col]).alias("_key"),
-                       docs[text_col].alias("_text"))
+    """``_id``, ``_text``, the whole ``_row``, and ``_key``, which with the id names a row (equal rows are alike)."""
+    return wrapped(docs, _id=id_col, _text=text_col).withColumn("_key", F.xxhash64("_id", "_text"))
 
 
 def duplicate_spans(rows: DataFrame, window: int = 50) -> DataFrame:
@@ -231,6 +230,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = rows.where("spans is null or _kept <> ''")
     changed = {text_col: F.col("_kept")}
     if length_col in docs.columns:
-        changed[length_col] = F.when(F.col("spans").isNull(), F.col(length_col)).otherwise(
+        changed[length_col] = F.when(F.col("spans").isNull(), F.col(f"_row.`{length_col}`")).otherwise(
             F.length("_kept").cast(docs.schema[length_col].dataType))
-    return left.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
+    return unwrapped(left, docs, **changed)

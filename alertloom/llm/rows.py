@@ -16,6 +16,17 @@ def narrowed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(df[source].alias(name) for name, source in columns.items()))
 
 
+def wrapped(df: DataFrame, **columns: str) -> DataFrame:
+    """The named columns beside ``_row``, the whole row as one struct, whose names clash with nothing."""
+    return df.select(*(df[source].alias(name) for name, source in columns.items()),
+                     F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
+
+
+def unwrapped(df: DataFrame, like: DataFrame, **changed) -> DataFrame:
+    """The rows of a wrapped table in the columns of ``like``; ``changed`` replaces some of them."""
+    return df.select(*(changed[c].alias(c) if c in changed else F.col(f"_row.`{c}`") for c in like.columns))
+
+
 def fields(df: DataFrame, *more: StructField, keep: tuple[str, ...] = ("_id",)) -> StructType:
     return StructType([StructField(c, df.schema[c].dataType) for c in keep] + list(more))
 

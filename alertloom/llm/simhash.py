@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from alertloom.llm.components import components
-from alertloom.llm.rows import arrow_map, as_bytes, fields, hex64, narrowed, sliced
+from alertloom.llm.rows import arrow_map, as_bytes, fields, narrowed, sliced, unwrapped, wrapped
 from alertloom.session import stage
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, width
 MAX_BITS = 4
+BROADCAST_ROWS = 10_000
 # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, a generator of the binary Golay code (fixed value)
 GENERATOR = 0xC75
 
@@ -335,23 +336,18 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     order = F.struct(F.col("_id").isNull(), "_id", "_fp")
     chosen = classes.groupBy("_root").agg(F.min(order).alias("c")).select("c._id", "c._fp")
     # Ids that several rows share, or no id: only there does it take the fingerprint to tell the chosen row.
-    shared = classes.groupBy("_id").count().where("count > 1 or _id is null").select("_id")
-    same_id = docs[id_col].eqNullSafe(F.col("_id"))
-    plain = docs.join(chosen.join(shared, "_id", "left_anti").where("_id is not null"), docs[id_col] == F.col("_id"),
-                      "left_semi")
-    doubtful = docs.join(F.broadcast(shared), same_id, "left_semi") if _is_small(shared) else docs.join(
-        shared, same_id, "left_semi")
-    whole = doubtful.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
-                            F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    printed = arrow_map(whole, _carry_row(shingle), fields(
-        whole, StructField("_fp", LongType()), keep=("_id", "_text", "_row")))
-    once = printed.groupBy("_id", "_fp").agg(F.min_by("_row", "_text").alias("_row"))
-    kept = once.alias("o").join(chosen.alias("c"), F.expr("o._id <=> c._id and o._fp = c._fp"), "left_semi")
-    return plain.unionByName(kept.select(*(F.col(f"_row.`{c}`") for c in docs.columns)))
-
-
-def _is_small(ids: DataFrame, most: int = 10_000) -> bool:
-    return ids.limit(most + 1).count() <= most
+    shared = classes.groupBy("_id").count().where("count > 1 or _id is null").select(F.col("_id").alias("_sid"))
+    chosen = chosen.select(F.col("_id").alias("_cid"), F.col("_fp").alias("_cfp"))
+    whole = wrapped(docs, _id=id_col, _text=text_col)
+    alone = chosen.where("_cid is not null").join(shared, F.col("_cid") == F.col("_sid"), "left_anti")
+    plain = whole.join(alone, F.col("_id") == F.col("_cid"), "left_semi")
+    few = F.broadcast(shared) if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else shared
+    doubtful = whole.join(few, F.col("_id").eqNullSafe(F.col("_sid")), "left_semi").select("_id", "_text", "_row")
+    printed = arrow_map(doubtful, _carry_row(shingle), fields(
+        doubtful, StructField("_fp", LongType()), keep=("_id", "_text", "_row")))
+    once = printed.groupBy("_id", "_fp").agg(F.min_by("_row", F.coalesce("_text", F.lit(""))).alias("_row"))
+    kept = once.join(chosen, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_fp") == F.col("_cfp")), "left_semi")
+    return unwrapped(plain, docs).unionByName(unwrapped(kept, docs))
 
 
 def _carry_row(shingle: int):
