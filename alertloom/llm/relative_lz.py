@@ -141,8 +141,10 @@ def duplicate_spans(rows: DataFrame, window: int = 50) -> DataFrame:
         StructField("count", _INT), keep=_KEY)), "blocks")
     anchors = blocks.groupBy("anchor").agg(
         F.min("_id").alias("lowest"), F.max("_id").alias("highest"), F.min("block").alias("b0"), F.max("block").alias("b1"))
-    shared = stage(blocks.join(anchors.where("lowest < highest").select(
-        "anchor", "lowest", (F.col("b0") != F.col("b1")).alias("several")), "anchor"), "shared-blocks")
+    # Written, as all joins of rows with totals here: a join of two plain scans is one that a hot key can be split in.
+    shared_anchors = stage(anchors.where("lowest < highest").select(
+        "anchor", "lowest", (F.col("b0") != F.col("b1")).alias("several")), "shared-anchors")
+    shared = stage(blocks.join(shared_anchors, "anchor"), "shared-blocks")
 
     plain = shared.where("not several and lowest < _id").select(*_KEY, "first", "count")
     several = shared.where("several").drop("lowest", "several")
@@ -160,9 +162,9 @@ def duplicate_spans(rows: DataFrame, window: int = 50) -> DataFrame:
     lowest = windows.groupBy("anchor", "hash").agg(F.min("_id").alias("lowest"), F.max("_id").alias("highest"))
     held_by = several.groupBy("anchor", "block").agg(F.max("_id").alias("last"))
     # A block is only looked at again if one of its windows starts under an id below the largest id it occurs under.
-    known = windows.join(lowest, ["anchor", "hash"]).groupBy("anchor", "block").agg(
+    known = stage(windows.join(lowest, ["anchor", "hash"]).groupBy("anchor", "block").agg(
         F.collect_list(F.struct("offset", "lowest")).alias("windows"), F.min("lowest").alias("lowest")).join(
-        held_by, ["anchor", "block"]).where("lowest < last").select("anchor", "block", "windows")
+        held_by, ["anchor", "block"]).where("lowest < last").select("anchor", "block", "windows"), "known-blocks")
     resolved = several.join(known, ["anchor", "block"]).select(
         *_KEY, "first", F.filter("windows", lambda w: w["lowest"] < F.col("_id")).alias("windows")).where(
         "size(windows) > 0").select(*_KEY, F.explode(F.transform("windows", lambda w: F.struct(
