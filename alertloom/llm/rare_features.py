@@ -271,9 +271,12 @@ def edit_report(docs: DataFrame, ranks: np.ndarray | None = None, id_col: str =
     if ranks is None:
         ranks = entropy_ranks(docs, text_col)
     ids = docs.select(docs[id_col].alias("_id"))
-    picked = [r["_id"] for r in ids.where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(sample).collect()]
-    picked = sorted(set(picked))
-    wanted = stretches or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = ids.count()
+    share = min(1.0, sample / max(1, total))
+    # By a hash of the id, so that each task sends its share only; copies of an id meet before they are sent.
+    chosen = ids.where("_id is not null").where(F.shiftrightunsigned(F.xxhash64("_id"), 33) < int(share * (1 << 31)))
+    picked = sorted(r["_id"] for r in chosen.distinct().collect())
+    wanted = 8 * (stretches or int(spark.conf.get("spark.sql.shuffle.partitions")))  # several a task even out their sizes
     bounds = picked[::max(1, len(picked) // wanted)][1:]
 
     def places(batches):
@@ -287,7 +290,7 @@ def edit_report(docs: DataFrame, ranks: np.ndarray | None = None, id_col: str =
     cut = arrow_map(rows, _stretch_columns(bounds, firsts), StructType([
         StructField("_part", IntegerType()), StructField("_tail", IntegerType()), rows.schema["_id"], rows.schema["_hash"],
         StructField("_packed", BinaryType())]))
-    sorted_ = cut.repartition(max(1, len(bounds) + 1), "_part").sortWithinPartitions("_part", "_tail", "_id", "_hash")
+    sorted_ = cut.repartition(max(1, -(-len(bounds) // 8)), "_part").sortWithinPartitions("_part", "_tail", "_id", "_hash")
     text, score = StringType(), DoubleType()
     return arrow_map(sorted_, _neighbour_columns(ranks), StructType([
         StructField(id_col, rows.schema["_id"].dataType), StructField("n_chars", LongType()), StructField("edited_sha256", text),
