@@ -79,10 +79,34 @@ def class_rank(c: str | Column) -> Column:
     return F.when(c == "alert", 2).when(c == "informational", 1).when(c == "noise", 0)
 
 
+_OFFSET = r"(?:Z|[+-]\d{2}(?::?\d{2})?)"
+_COMMON = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:?\d{2})"
+_ISO = rf"^(\d{{4}}-\d{{2}}-\d{{2}}|\d{{8}})(?:[T ](\d{{2}})(?::?(\d{{2}})(?::?(\d{{2}})(?:[.,](\d+))?)?)?({_OFFSET})?)?\z"
+
+
+def iso_instant(text: Column, offset_required: bool) -> Column:
+    """ISO 8601 date or date and time, extended or basic, to an instant; null for anything else.
+
+    A time alone is no instant.  Without an offset the text means UTC, or nothing if one is required.
+    """
+    def part(n: int) -> Column:
+        return F.regexp_extract(text, _ISO, n)
+
+    def or_zero(n: int) -> Column:
+        return F.when(part(n) == "", "00").otherwise(part(n))
+
+    offset = F.regexp_replace(F.regexp_replace(part(6), r"^([+-]\d{2})\z", "$1:00"), r"^([+-]\d{2})(\d{2})\z", "$1:$2")
+    rebuilt = F.concat(
+        F.regexp_replace(part(1), r"^(\d{4})(\d{2})(\d{2})\z", "$1-$2-$3"), F.lit("T"), or_zero(2), F.lit(":"), or_zero(3),
+        F.lit(":"), or_zero(4), F.lit("."), F.rpad(F.substring(part(5), 1, 6), 6, "0"),
+        F.when(offset == "", "Z").otherwise(offset))
+    known = text.rlike(_ISO) & (part(6) != "") if offset_required else text.rlike(_ISO)
+    return F.when(text.rlike(_COMMON + r"\z"), F.try_to_timestamp(text)).when(known, F.try_to_timestamp(rebuilt))
+
+
 def aware_timestamp(text: Column) -> Column:
     """Timestamp text to an instant; null unless the text carries its UTC offset."""
-    has_offset = text.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$")
-    return F.when(has_offset, F.try_to_timestamp(text))
+    return iso_instant(text, offset_required=True)
 
 
 def iso_utc(ts: str | Column) -> Column:

@@ -9,7 +9,7 @@ _H = r"[0-9a-fA-F]{1,4}"
 
 
 def is_ipv4(c: Column) -> Column:
-    return c.rlike(rf"^{_V4}$")
+    return c.rlike(rf"^{_V4}\z")
 
 
 def _address(c: Column) -> Column:
@@ -19,11 +19,11 @@ def _address(c: Column) -> Column:
 def is_ipv6(c: Column) -> Column:
     """Eight groups, or fewer with one '::'; the tail may be dotted IPv4; a zone may follow."""
     # A dotted tail counts as two groups.
-    hexed = F.regexp_replace(_address(c), rf"{_V4}$", "0:0")
-    full = hexed.rlike(rf"^{_H}(?::{_H}){{7}}$")
-    short = hexed.rlike(rf"^(?:{_H}(?::{_H})*)?::(?:{_H}(?::{_H})*)?$")
+    hexed = F.regexp_replace(_address(c), rf"{_V4}\z", "0:0")
+    full = hexed.rlike(rf"^{_H}(?::{_H}){{7}}\z")
+    short = hexed.rlike(rf"^(?:{_H}(?::{_H})*)?::(?:{_H}(?::{_H})*)?\z")
     groups = F.size(F.array_remove(F.split(hexed, ":"), ""))
-    return (full | (short & (groups <= 7))) & (~c.contains("%") | c.rlike(r"^[^%]+%[^%]+$"))
+    return (full | (short & (groups <= 7))) & (~c.contains("%") | c.rlike(r"^[^%]+%[^%]+\z"))
 
 
 def is_ip(c: Column) -> Column:
@@ -31,10 +31,10 @@ def is_ip(c: Column) -> Column:
 
 
 def _v4_tail_as_hex(addr: Column) -> Column:
-    quad = F.split(F.regexp_extract(addr, rf"({_V4})$", 1), r"\.")
+    quad = F.split(F.regexp_extract(addr, rf"({_V4})\z", 1), r"\.")
     pair = [F.lower(F.hex(quad[i].cast("int") * 256 + quad[i + 1].cast("int"))) for i in (0, 2)]
-    head = F.regexp_replace(addr, rf"{_V4}$", "")
-    return F.when(addr.rlike(rf"{_V4}$"), F.concat(head, pair[0], F.lit(":"), pair[1])).otherwise(addr)
+    head = F.regexp_replace(addr, rf"{_V4}\z", "")
+    return F.when(addr.rlike(rf"{_V4}\z"), F.concat(head, pair[0], F.lit(":"), pair[1])).otherwise(addr)
 
 
 def _groups(addr: Column) -> Column:

@@ -273,25 +273,30 @@ def _every_salt(df: DataFrame) -> DataFrame:
 
 
 def finding_recurrence(events: DataFrame, triaged: DataFrame | None = None,
-                       among: DataFrame | None = None, split_s: int = DAY_S) -> DataFrame:
+                       among: DataFrame | None = None, split_s: int = DAY_S, within: bool = True) -> DataFrame:
     """Adds ``finding_seen_before``: a finding whose alert id was triaged for another event.
 
     Events see earlier ones among themselves, in (time, event_id) order, and any row of
     another event in ``triaged`` (alert_id, event_id).  Both look-ups are answered from a
     summary per alert id; the event side is spread over (alert id, day), or over salted
     copies, so a finding repeated without end does not land in one task.  ``among`` is
-    the source of ``events`` when these are the result of earlier steps: the summary is
-    then taken from there instead of running those steps twice.
+    the rows that count as triaged, ``events`` themselves by default.  With ``within=False`` only
+    ``triaged`` counts.
     """
     us = micros("timestamp")
     spot = F.struct(us.alias("us"), F.col("event_id").alias("id"))
     day = cell_of(us, split_s * MICROS)
-    among = events if among is None else among
-    firsts = among.groupBy("source_alert_id", day.alias("_day")).agg(F.min(spot).alias("_first"))
-    upto = Window.partitionBy("source_alert_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
-    firsts = firsts.withColumn("_first", F.min("_first").over(upto))
-    joined = events.withColumn("_day", day).join(firsts, ["source_alert_id", "_day"], "left")
-    seen = F.coalesce(F.col("_first") < spot, F.lit(False))
+    joined, seen = events, F.lit(False)
+    if within:
+        among = events if among is None else among
+        firsts = among.groupBy("source_alert_id", day.alias("_day")).agg(F.min(spot).alias("_spot"))
+        # A day without a row among them looks back to the last day that has one.
+        days = firsts.unionByName(events.select("source_alert_id", day.alias("_day")).distinct(), allowMissingColumns=True)
+        upto = Window.partitionBy("source_alert_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+        firsts = days.groupBy("source_alert_id", "_day").agg(F.min("_spot").alias("_spot")).select(
+            "source_alert_id", "_day", F.min("_spot").over(upto).alias("_first"))
+        joined = events.withColumn("_day", day).join(firsts, ["source_alert_id", "_day"], "left")
+        seen = F.coalesce(F.col("_first") < spot, F.lit(False))
     if triaged is not None:
         known = triaged.groupBy(F.col("alert_id").alias("source_alert_id")).agg(
             F.min("event_id").alias("_lo"), F.max("event_id").alias("_hi"))
@@ -364,17 +369,30 @@ def zeroed_context(rule: Column | None = None) -> Column:
     )
 
 
+def with_batch_findings(resolved: DataFrame) -> DataFrame:
+    """Resolved rows whose ``context.finding_seen_before`` also counts earlier rows of the same run.
+
+    Only rows with a valid answer count: the others are dead letters and leave no record.
+    """
+    is_finding = F.coalesce(F.col("event_type") == "finding", F.lit(False))
+    ok = resolved.where("output is not null")
+    seen = finding_recurrence(resolved.where(is_finding), among=ok)
+    own = F.col("context.finding_seen_before") | (F.col("finding_seen_before") & ~F.col("context.lookup_degraded"))
+    judged = seen.withColumn("context", F.col("context").withField("finding_seen_before", own)).select(*resolved.columns)
+    return judged.unionByName(resolved.where(~is_finding))
+
+
 def enrich(events: DataFrame, history: DataFrame | None, triaged: DataFrame | None = None,
            allowlist: str | list[str] | DataFrame | None = None,
-           degraded: Column | None = None, past_slots: DataFrame | None = None) -> DataFrame:
+           degraded: Column | None = None, past_slots: DataFrame | None = None, within: bool = True) -> DataFrame:
     """Events plus ``context``.  ``history=None`` means the look-ups are unavailable.
 
     ``degraded`` marks single events whose look-ups failed.  Events of one call count as
-    triaged for the findings after them.
+    triaged for the findings after them unless ``within`` is false.
     """
     if history is None:
         return events.withColumn("context", zeroed_context())
     out = history_counts(events, history, past_slots=past_slots)
-    out = finding_recurrence(out, triaged, among=events)
+    out = finding_recurrence(out, triaged, among=events, within=within)
     out = allowlisted(out, allowlist)
     return out.withColumn("context", context_struct(degraded)).select(*events.columns, "context")

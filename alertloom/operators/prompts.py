@@ -1,6 +1,5 @@
 """Prompt text for a scorer: byte-capped event JSON, injection screen, message assembly."""
 
-import json
 import re
 import unicodedata
 
@@ -9,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertloom.functions.columns import computed_once, iso_utc
+from alertloom.functions.columns import computed_once, iso_utc, let
 from alertloom.schemas import CONTEXT, UNIFIED_EVENT
 
 EVENT_MAX_BYTES = 8192
@@ -103,13 +102,15 @@ def screen_text(df: DataFrame, cols: list[str]) -> DataFrame:
         | {c: F.regexp_replace(c, pattern, NEUTRAL) for c in cols})
 
 
-def event_json(df: DataFrame) -> Column:
+def event_json(df: DataFrame, without: tuple[str, ...] = (), replaced: dict[str, Column] | None = None) -> Column:
     """Compact JSON of the event's non-null contract columns, in contract order."""
-    parts = []
+    replaced, parts = replaced or {}, []
     for f in UNIFIED_EVENT:
-        if f.name not in df.columns:
+        if f.name not in df.columns or f.name in without:
             continue
-        if f.name == "timestamp":
+        if f.name in replaced:
+            parts.append(replaced[f.name].alias(f.name))
+        elif f.name == "timestamp":
             parts.append(iso_utc("timestamp").alias("timestamp"))
         elif f.name == "fields":
             parts.append(F.try_parse_json("fields").alias("fields"))
@@ -118,42 +119,69 @@ def event_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*parts))
 
 
-def shrink_json(text: str, max_bytes: int) -> str | None:
-    """Cut one oversize event's JSON to the cap; None if identifiers alone exceed it."""
-    def dump(d: dict) -> str:
-        return json.dumps(d, ensure_ascii=False, separators=(",", ":"))
+def _utf8_prefix(text: Column, most: Column) -> Column:
+    """The longest beginning of a text within ``most`` UTF-8 bytes."""
+    raw = text.cast("binary")
 
-    event = json.loads(text)
-    event.pop("fields", None)
-    longest_first = sorted(
-        (name for name in CUTTABLE if name in event), key=lambda n: len(event[n].encode()), reverse=True)
-    for name in ["summary"] + longest_first:
-        over = len(dump(event).encode()) - max_bytes
-        if over <= 0:
-            break
-        room = len(event[name].encode()) - over - len(CUT_MARK)
-        event[name] = event[name].encode()[:max(room, 0)].decode(errors="ignore") + CUT_MARK
-    out = dump(event)
-    return out if len(out.encode()) <= max_bytes else None
+    def starts_character(at: Column) -> Column:  # no byte 10xxxxxx stands there
+        return ~F.hex(F.substring(raw, at + 1, F.lit(1))).rlike("^[89AB]")
+
+    end = most
+    for back in (3, 2, 1, 0):  # a character has four bytes at most
+        end = F.when(starts_character(most - back), most - back).otherwise(end)
+    return F.when(F.octet_length(text) <= most, text).otherwise(
+        F.substring(raw, F.lit(1), F.greatest(end, F.lit(0))).cast("string"))
+
+
+def _json_bytes(text: Column) -> Column:
+    """Bytes of a text inside JSON, quotes and all, up to a constant."""
+    return F.octet_length(F.to_json(F.struct(text.alias("t"))))
+
+
+def _cuts(df: DataFrame, bare: Column, max_bytes: int) -> Column:
+    """Name and shortened text of the columns that have to be cut, for an event of ``bare`` JSON without ``fields``.
+
+    The free-text columns stand in the order they are cut in: the summary, then the longest (of equals, the one
+    declared first).  A fold over them carries the event's size; each gives up what is still too much.
+    """
+    names = [n for n in ("summary", *CUTTABLE) if n in df.columns]
+    fields = F.array_sort(F.array_compact(F.array(*[
+        F.when(F.col(n).isNotNull(), F.struct(
+            (F.lit(0) if n == "summary" else F.lit(1)).alias("turn"), (-F.octet_length(n)).alias("short"),
+            F.lit(i).alias("place"), F.lit(n).alias("name"), F.col(n).alias("text")))
+        for i, n in enumerate(names)])))
+    none = F.array().cast("array<struct<name:string,text:string>>")
+
+    def shortened(state: Column, field: Column) -> Column:
+        spare = F.octet_length(field["text"]) - (state["size"] - max_bytes) - len(CUT_MARK)
+        cut = F.concat(_utf8_prefix(field["text"], F.greatest(spare, F.lit(0))), F.lit(CUT_MARK))
+        return let(cut, lambda c: F.struct(
+            (state["size"] - _json_bytes(field["text"]) + _json_bytes(c)).alias("size"),
+            F.concat(state["cuts"], F.array(F.struct(field["name"].alias("name"), c.alias("text")))).alias("cuts")))
+
+    folded = F.aggregate(
+        fields, F.struct(F.octet_length(bare).alias("size"), none.alias("cuts")),
+        lambda state, field: F.when(state["size"] <= max_bytes, state).otherwise(shortened(state, field)))
+    return F.map_from_entries(folded["cuts"])
 
 
 def cap_event_json(df: DataFrame, max_bytes: int = EVENT_MAX_BYTES) -> DataFrame:
     """Adds ``event_json`` within the cap, ``event_bytes`` before it, and ``oversize``.
 
-    ``event_json`` is null (and ``oversize`` true) for an event that cannot be made to
-    fit.  Only rows over the cap are handed to Python.
+    An event over the cap loses ``fields`` first, then as much of its free text as needed.  ``event_json`` is null
+    (and ``oversize`` true) for an event whose identifiers alone exceed the cap.
     """
-    @F.pandas_udf("string")
-    def shrink(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else shrink_json(t, max_bytes))
-
     out = computed_once(df, *df.columns, _json=event_json(df)).withColumn("event_bytes", F.octet_length("_json"))
     over = F.col("event_bytes") > max_bytes
-    out = out.withColumn("_short", shrink(F.when(over, F.col("_json"))))
+    out = computed_once(out, *out.columns, _cuts=F.when(over, _cuts(df, event_json(df, ("fields",)), max_bytes)))
+    short = event_json(df, ("fields",), {
+        n: F.coalesce(F.element_at("_cuts", F.lit(n)), F.col(n)) for n in ("summary", *CUTTABLE) if n in df.columns})
+    out = computed_once(out, *out.columns, _short=F.when(over, short))
+    fits = F.octet_length("_short") <= max_bytes
     return out.withColumns({
-        "event_json": F.when(over, F.col("_short")).otherwise(F.col("_json")),
-        "oversize": over & F.col("_short").isNull(),
-    }).drop("_json", "_short")
+        "event_json": F.when(over, F.when(fits, F.col("_short"))).otherwise(F.col("_json")),
+        "oversize": over & ~fits,
+    }).drop("_json", "_short", "_cuts")
 
 
 def context_json(context: str = "context") -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.operators import decide as _decide
-from alertloom.operators.history import enrich
+from alertloom.operators.history import enrich, with_batch_findings
 from alertloom.operators.notices import (
     coalesce_notices, fan_out, project_notifications, system_notices)
 from alertloom.operators.render import render_notification, render_system_notice, slack_payload
@@ -59,11 +59,15 @@ def triage(events: DataFrame, history: DataFrame | None, now: datetime | Column,
 
     The scored rows feed the session summary, the session join and the dead letters, and
     the decided rows every sink; ``staged`` writes each once instead of recomputing it.
+
+    A finding counts as seen if a record of another event of its alert is in ``triaged``, or an earlier event of
+    this run got a valid answer.  The scorer sees the former; the latter is known once the answers are judged.
     """
-    enriched = enrich(events, history, triaged, allowlist, degraded, past_slots)
+    enriched = enrich(events, history, triaged, allowlist, degraded, past_slots, within=False)
     resolved = resolve_attempts(scorer(enriched))
     if staged:
         resolved = stage(resolved, "resolved")
+    resolved = with_batch_findings(resolved)
     decided = _decide.decide(scored_rows(resolved), now, threshold, max_age_s, gap_s, open_sessions)
     if staged:
         decided = stage(decided, "decided")

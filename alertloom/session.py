@@ -4,11 +4,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_KEY = "spark.checkpoint.dir"
 _own_dirs: dict[str, str] = {}
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def build_session(app: str = "alertloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,4 +64,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if (held := _scratch.get()) is not None:
+        held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables staged inside are removed at the end; nothing read from them may outlive it."""
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        paths = _scratch.get()
+        _scratch.reset(token)
+        for text in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(text)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

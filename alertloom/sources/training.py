@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from alertloom.functions.columns import iso_utc
 from alertloom.operators.dataset import normalize_rows, remap_csv_rows
 from alertloom.schemas import CONTEXT, UNIFIED_EVENT
 
@@ -16,8 +17,8 @@ def read_labelled_csv(spark: SparkSession, path: str, now: datetime | Column, so
 
     ``source="public"`` remaps the public dataset's columns; ``"raw"`` takes the
     intermediate names as they are.  All columns are read as text.  Quoted line breaks
-    belong to their field; where a source has none, ``multi_line=False`` lets Spark split
-    large files.
+    belong to their field, which makes one task read a whole file; with
+    ``multi_line=False``, for sources that have none, large files are split among tasks.
     """
     rows = spark.read.options(header=True, multiLine=multi_line, escape='"', inferSchema=False,
                               ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
@@ -49,12 +50,20 @@ def read_labelled_lines(spark: SparkSession, path: str, now: datetime | Column,
     keys = F.json_object_keys("value")
     if strict:
         keys = F.coalesce(keys, F.raise_error(F.lit("malformed JSON line")).cast("array<string>"))
-    rows = lines.select(F.from_json("value", schema).alias("_r"), keys.alias("_keys")).select("_r.*", "_keys")
+    rows = lines.select(F.from_json("value", schema).alias("_r"), keys.alias("_keys"), F.try_parse_json("value").alias("_v"))
+    # Only a JSON number is seconds since the epoch; the same digits as text are a date.
+    number = F.when(F.schema_of_variant(F.try_variant_get("_v", "$.timestamp", "variant")).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"),
+                    F.try_variant_get("_v", "$.timestamp", "double"))
+    rows = rows.select("_r.*", "_keys", number.alias("_seconds"))
+    if "timestamp" in rows.columns:
+        rows = rows.withColumn("timestamp", F.coalesce(
+            iso_utc(F.timestamp_micros(F.round(F.col("_seconds") * 1e6).cast("long"))), "timestamp"))
+    rows = rows.drop("_seconds")
     # Whether a row brings any context is a property of the row here, not of the file.
     has_context = F.exists("_keys", lambda k: k.startswith("ctx_"))
     rows = rows.withColumn("ctx_lookup_degraded", F.coalesce(
         "ctx_lookup_degraded", (~has_context).cast("string"), F.lit("true")))
-    out = normalize_rows(rows, now, carry=["_keys"], epoch=True)
+    out = normalize_rows(rows, now, carry=["_keys"])
     broken = F.when(F.col("_keys").isNull(), F.array(F.lit("not_json_object"))).otherwise(
         F.array().cast("array<string>"))
     return out.withColumn("violations", F.concat("violations", broken)).drop("_keys")

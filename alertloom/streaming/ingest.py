@@ -40,8 +40,32 @@ def _start(df: DataFrame, write, checkpoint: str, available_now: bool, poll: str
 
 
 def valid_bus_events(messages: DataFrame, data: str = "data") -> DataFrame:
-    """Valid events of a bus stream; malformed messages are left to the quarantine query."""
-    return events_from_bus(messages, data).where(F.size("violations") == 0).drop("violations")
+    """Valid events of a bus stream; what it leaves out is what :func:`bus_quarantine` holds."""
+    return events_from_bus(messages, data).where(F.size("violations") == 0).drop("violations", "_raw")
+
+
+def bus_quarantine(messages: DataFrame, data: str = "data") -> DataFrame:
+    """Malformed messages of a bus stream: id if readable, broken rules and a digest, never the text."""
+    return events_from_bus(messages, data).where(F.size("violations") > 0).select(
+        "event_id", "source_module", "violations", F.sha2("_raw", 256).alias("message_sha256"))
+
+
+def start_bus_ingest(messages: DataFrame, events_path: str, quarantine_path: str, checkpoint: str, data: str = "data",
+                     available_now: bool = False) -> StreamingQuery:
+    """Bus messages to an event table and a quarantine table, each message parsed once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        parsed = events_from_bus(batch, data).persist()
+        try:
+            ok = F.size("violations") == 0
+            parsed.where(ok).drop("violations", "_raw").write.mode("overwrite").parquet(batch_dir(events_path, batch_id))
+            parsed.where(~ok).select(
+                "event_id", "source_module", "violations", F.sha2("_raw", 256).alias("message_sha256"),
+                F.current_timestamp().alias("quarantined_at")).write.mode("overwrite").parquet(batch_dir(quarantine_path, batch_id))
+        finally:
+            parsed.unpersist()
+
+    return _start(messages, write, checkpoint, available_now)
 
 
 def dedupe_stream(events: DataFrame, delay: str = "10 minutes", ts: str = "timestamp") -> DataFrame:

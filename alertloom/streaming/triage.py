@@ -11,6 +11,7 @@ Tables under ``root``:
 * ``records``, ``dead_letters``, ``decided``, ``notices``
 * ``sessions`` sessions still open, rewritten per batch (as long as the gap, not the past)
 * ``windows``  coalescing windows still open
+* ``clock``    median event times of the last few batches
 """
 
 from dataclasses import dataclass
@@ -29,6 +30,7 @@ from alertloom.operators.scoring import Scorer, rubric_scorer
 from alertloom.operators.sessions import GAP_S
 from alertloom.plans.triage import Triage, triage
 from alertloom.schemas import columns
+from alertloom.session import scratch
 from alertloom.streaming.ingest import POLL, _start, batch_dir
 
 HISTORY_COLUMNS = ["event_id", "timestamp", "sensor", "src_ip", "rule_id", "signature", "event_type"]
@@ -36,6 +38,8 @@ _S, _L, _TS = T.StringType(), T.LongType(), T.TimestampType()
 SESSIONS = columns(signature=_S, first_us=_L, last_us=_L, opening_rank=T.IntegerType(), notified=T.BooleanType())
 WINDOWS = columns(reason=_S, sensor=_S, opened_at=_TS, count=_L)
 FIRED = columns(reason=_S, sensor=_S, fired_at=_TS, count=_L)
+CLOCK = columns(at_us=_L)
+CLOCK_BATCHES = 5
 SLOTS = columns(key=_S, rule=_S, slot=_L, n=_L, first_us=_L, last_us=_L)
 
 
@@ -93,7 +97,8 @@ class TriageStream:
                 events = events.join(past.where(days), "event_id", "left_anti").select(*batch.columns)
             events = events.persist()
             try:
-                self._triage(events, past, span["lo"], span["hi"], batch_id)
+                with scratch(self.spark):
+                    self._triage(events, past, span["lo"], span["hi"], batch_id)
             finally:
                 events.unpersist()
         finally:
@@ -135,15 +140,28 @@ class TriageStream:
         self._write(run.records, "records", batch_id)
         self._write(run.dead_letters, "dead_letters", batch_id)
         self._write(run.decided, "decided", batch_id)
-        self._write(self._open_sessions(run, open_before), "sessions", batch_id)
+        horizon = self._horizon(run, batch_id)
+        self._write(self._open_sessions(run, open_before, horizon), "sessions", batch_id)
         fired, still_open = coalesce_notices(
             run.notices, window_s=self.notice_window_s,
             open_windows=self._version("windows", WINDOWS, batch_id))
         self._write(fired.select(*FIRED.names), "notices", batch_id)
         self._write(still_open.select(*WINDOWS.names), "windows", batch_id)
 
-    def _open_sessions(self, run: Triage, before: DataFrame | None) -> DataFrame:
-        """Each signature's latest session, forgotten once no event can join it any more."""
+    def _horizon(self, run: Triage, batch_id: int) -> int | None:
+        """The time the stream has reached: the lower median of the last batches' median event times.
+
+        Neither a row nor a batch with a wrong clock moves it past the others' time.
+        """
+        before = self._version("clock", CLOCK, batch_id)
+        known = [] if before is None else [r["at_us"] for r in before.collect()]  # CLOCK_BATCHES rows at most
+        middle = run.decided.agg(F.percentile_approx(micros("timestamp"), 0.5)).first()[0]
+        known = known[-(CLOCK_BATCHES - 1):] + ([] if middle is None else [middle])
+        self._write(self.spark.createDataFrame([(t,) for t in known], CLOCK).coalesce(1), "clock", batch_id)
+        return sorted(known)[(len(known) - 1) // 2] if known else None
+
+    def _open_sessions(self, run: Triage, before: DataFrame | None, horizon: int | None = None) -> DataFrame:
+        """Each signature's latest session, forgotten once no event can join it any more (all are kept without a horizon)."""
         rows = run.decided.select(
             F.col("_signature").alias("signature"), F.col("_session_first_us").alias("first_us"),
             micros("timestamp").alias("last_us"), F.col("_opening_rank").alias("opening_rank"),
@@ -155,8 +173,6 @@ class TriageStream:
             F.bool_or("notified").alias("notified"))
         latest = sessions.groupBy("signature").agg(
             F.max_by(F.struct(*SESSIONS.names[1:]), "last_us").alias("s")).select("signature", "s.*")
-        newest = sessions.agg(F.max("last_us")).first()[0]
-        if newest is None:
+        if horizon is None:
             return latest
-        keep_us = (self.gap_s + self.lateness_s) * MICROS
-        return latest.where(F.col("last_us") >= newest - keep_us)
+        return latest.where(F.col("last_us") >= horizon - (self.gap_s + self.lateness_s) * MICROS)

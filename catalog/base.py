@@ -121,12 +121,15 @@ SCORED_SQL = f"""{HISTORY_SQL},
     when contains(coalesce(signature, ''), '[neutralized]') then 'alert' end as label
   from ctx),
  scored as (
-  select *, coalesce(label, 'informational') as classification,
+  select * exclude (finding_seen_before), coalesce(label, 'informational') as classification,
     case when label is null then 0.5 else 0.9 end as confidence,
     case coalesce(label, 'informational') when 'alert' then 2 when 'informational' then 1 else 0 end as cls_rank,
     'Seen <b>' || summary || '</b> & more' as answer_summary,
     case event_no % 3 when 0 then '' when 1 then 'Block ' || source else 'Check <host>|Rotate & report' end as actions,
-    'related_events_24h=' || cast(related_events_24h as varchar) as rationale
+    'related_events_24h=' || cast(related_events_24h as varchar) as rationale,
+    -- an earlier event of the same alert, of any kind, got a record
+    event_type = 'finding' and not lookup_degraded and exists (select 1 from keyed r where r.source_alert_id = ruled.source_alert_id
+      and r.event_no % 19 <> 0 and r.event_id <> ruled.event_id and r.us < ruled.us) as finding_seen_before
   from ruled where event_no % 19 <> 0)"""
 
 

@@ -3,31 +3,40 @@
 from pyspark.sql import functions as F
 
 from alertloom.schemas import UNIFIED_EVENT
-from alertloom.session import fresh_path
+from alertloom.session import fresh_path, stage
 from alertloom.sources.alerts import events_to_bus, stream_raw_alerts
-from alertloom.streaming.ingest import dedupe_stream, start_ingest, valid_bus_events
+from alertloom.streaming.ingest import dedupe_stream, start_bus_ingest, start_ingest, valid_bus_events
 from alertloom.streaming.triage import TriageStream
 from alertloom.streaming.windows import event_rate, session_windows
 from catalog.base import ALERTS_SQL, ALLOWLIST, DECIDED_SQL, alerts, decision_time, micros_of, varied_scorer
+from catalog.ingest import BUS_SQL, bus_messages, raw_alerts
 from catalog.ingest import ORACLES as INGEST_ORACLES
-from catalog.ingest import raw_alerts
 
-# Where the month is cut into the files a stream reads one after another.
-_CUTS = ["2024-01-01", "2024-01-11", "2024-02-01"]
+PARTS, FILES = 3, 4  # a stream reads this many parts in time order, a part being so many files
 
 
 def in_files(df, path, fmt="parquet"):
-    """The rows as files in time order."""
-    for lo, hi in zip(_CUTS, _CUTS[1:]):
-        part = df.where((F.col("timestamp") >= lo) & (F.col("timestamp") < hi)).coalesce(1)
-        part.write.mode("append").format(fmt).save(path)
+    """All rows as files, in parts of time order that the data's own times delimit; the first and last are open.
+
+    Rows whose time is null come first.  The rows of a part are dealt to its files, whatever their number.
+    """
+    at = F.unix_micros("timestamp")
+    cuts = df.select(at.alias("at")).agg(F.percentile_approx("at", [n / PARTS for n in range(1, PARTS)], 10_000)).first()[0] or []
+    staged = stage(df, "stream-rows")
+    for n in range(PARTS):
+        rows = staged
+        if n:
+            rows = rows.where(at >= cuts[n - 1]) if cuts else rows.limit(0)
+        if n < PARTS - 1 and cuts:
+            rows = rows.where(at.isNull() | (at < cuts[n])) if not n else rows.where(at < cuts[n])
+        rows.repartition(FILES).write.mode("append").format(fmt).save(path)
     return path
 
 
-def event_stream(spark, d):
+def event_stream(spark, d, more=None):
     a = alerts(spark, d)
-    path = in_files(a, fresh_path(spark, "stream-in"))
-    return spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    path = in_files(a if more is None else a.unionByName(more(a)), fresh_path(spark, "stream-in"))
+    return spark.readStream.schema(a.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def drained(stream, spark, mode="append"):
@@ -77,11 +86,25 @@ def bus(spark, d):
     a = alerts(spark, d)
     path = in_files(events_to_bus(a.select(*[c for c in UNIFIED_EVENT.names if c in a.columns])).withColumn(
         "timestamp", F.get_json_object("data", "$.timestamp").cast("timestamp")), fresh_path(spark, "bus-in"))
-    messages = spark.readStream.schema("data string, timestamp timestamp").option("maxFilesPerTrigger", 1).parquet(path)
-    return micros_of(drained(valid_bus_events(messages.select("data")), spark), "timestamp").select(
+    return micros_of(drained(valid_bus_events(message_stream(spark, path)), spark), "timestamp").select(
         "event_id", "timestamp", "sensor", "summary")
 
 
+def message_stream(spark, path):
+    messages = spark.readStream.schema("data string, timestamp timestamp").option("maxFilesPerTrigger", FILES).parquet(path)
+    return messages.select("data")
+
+
+def bus_quarantined(spark, d):
+    """Damaged messages through the bus ingest: the good ones in one table, the others in the quarantine."""
+    messages = message_stream(spark, in_files(bus_messages(spark, d), fresh_path(spark, "bus-in")))
+    events, bad = fresh_path(spark, "events"), fresh_path(spark, "quarantine")
+    start_bus_ingest(messages, events, bad, fresh_path(spark, "bus-state"), available_now=True).awaitTermination()
+    good = spark.read.parquet(events).select("event_id", "sensor", F.lit("").alias("violations"))
+    return good.unionByName(spark.read.parquet(bad).select(
+        "event_id", F.lit(None).cast("string").alias("sensor"), F.array_join("violations", ",").alias("violations")))
+
+
 def triaged(spark, d):
     root = fresh_path(spark, "triage")
     stream = TriageStream(spark, root, scorer=varied_scorer, allowlist=ALLOWLIST, now=decision_time())
@@ -101,6 +124,7 @@ QUERIES = {
     "stream_sessions": sessions,
     "stream_event_rate": rates,
     "stream_bus": bus,
+    "stream_bus_quarantine": bus_quarantined,
     "stream_triage": triage_decisions,
 }
 
@@ -115,6 +139,7 @@ ORACLES = {
     "stream_sessions": TRIAGE_ORACLES["session_windows"],
     "stream_event_rate": HEALTH_ORACLES["event_rate_sliding"],
     "stream_bus": f'with {ALERTS_SQL} select event_id, us as "timestamp", sensor, summary from alerts',
+    "stream_bus_quarantine": f"""{BUS_SQL} select event_id, case when violations = '' then sensor end as sensor, violations from bus""",
     "stream_triage": f"""with {_NO_LOSS} select event_id, classification, incident_group_key, is_new_session, escalated,
       session_was_notified, reason, {_CTX} from decided""",
 }

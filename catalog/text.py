@@ -123,7 +123,35 @@ _TEXT = {
 _JSON = "concat('{', concat_ws(',', " + ", ".join(
     f"""case when {_TEXT.get(c, c)} is not null then concat('"{c}":"', {_TEXT.get(c, c)}, '"') end""" for c in _ORDER) + "), '}')"
 
+
+
+def _cut_sql(step: str, source: str, name: str, size: str) -> str:
+    """A step that shortens one text of ``source`` by what ``size`` is over the cap, character by character."""
+    return f"""
+ {step}_room as (select *, {size} > 8192 and was > 8192 as cuts_{name},
+   greatest(strlen({name}) - ({size} - 8192) - 11, 0) as room_{name} from {source}),
+ {step}_chars as (select id, room_{name} as room, generate_subscripts(string_split({name}, ''), 1) as i,
+   unnest(string_split({name}, '')) as ch from {step}_room where cuts_{name}),
+ {step}_kept as (select id, max(i) as k from (select id, i, room, sum(strlen(ch)) over (partition by id order by i) as bytes
+   from {step}_chars) where bytes <= room group by id),
+ {step} as (select * replace (case when cuts_{name} then concat({name}[:coalesce(k, 0)], '[truncated]') else {name} end as {name})
+   from {step}_room left join {step}_kept using (id))"""
+
+
+_BARE = """concat('{"event_id":"', id, '","schema_version":"unified-event@1","timestamp":"2024-01-01T00:00:00Z","source_module":"docs","sensor":"',
+   source, '","source_alert_id":"', id, '","event_type":"SIEM","severity_hint":"low","summary":', to_json(s), ',"raw_ref":"ref","process":',
+   to_json(p), ',"http_url":', to_json(u)"""
+
+CAPPED_SQL = f"""with e as (select concat('d', doc_id) as id, doc_id, source, text[:500] as s, text as u, reverse(text) as p from documents),
+ sized as (select *, strlen({_BARE}, '}}')) as size_0, case when doc_id % 2 = 0 then ',"fields":{{"k":1}}' else '' end as extra from e),
+ start as (select *, size_0 + strlen(extra) as was from sized),{_cut_sql("one", "start", "s", "size_0")},
+ after_one as (select *, strlen({_BARE}, '}}')) as size_1 from one),{_cut_sql("two", "after_one", "u", "size_1").replace("select *, size_1", "select * exclude (k), size_1")},
+ after_two as (select *, strlen({_BARE}, '}}')) as size_2 from two),{_cut_sql("three", "after_two", "p", "size_2").replace("select *, size_2", "select * exclude (k), size_2")},
+ whole as (select id, was, {_BARE}, case when was > 8192 then '' else extra end, '}}') as js from three)
+select id as event_id, was as event_bytes, false as oversize, strlen(js) as bytes_after, js as event_json from whole"""
+
 ORACLES = {
+    "capped_json": CAPPED_SQL,
     "screen_documents": _screen_sql("documents", "text", ["doc_id"]),
     "screen_pages": _screen_sql("pages", "html", ["page_id"]),
     "screen_conversations": _screen_sql("conversations", "text", ["conv_id", "turn"]),

@@ -222,6 +222,27 @@ def test_first_valid_attempt_wins(spark):
     assert got["late"].output is None and got["none"].failed_rules == ["no_answer"]
 
 
+def test_a_wrong_clock_closes_no_session(spark, tmp_path):
+    from alertloom.operators.scoring import rubric_scorer
+    from alertloom.streaming.triage import TriageStream
+
+    def batch(part):
+        return events(spark, part).withColumns({
+            "severity_hint": F.lit("high"), "summary": F.lit("s"), "file_path": F.lit(None).cast("string"),
+            "source_module": F.lit("m"), "dst_ip": F.lit(None).cast("string")})
+
+    e0 = ("e0", T0, "h", "10.0.0.1", "r", None, "NIDS", "a0")
+    e1 = ("e1", T0 + timedelta(seconds=60), "h", "10.0.0.1", "r", None, "NIDS", "a1")
+    wrong = [(f"w{i}", T0 + timedelta(days=365 + i), "h", "10.0.0.9", "r", None, "NIDS", "aw") for i in range(2)]
+    for name, parts in (("same", [[e0, wrong[0]], [e1]]), ("alone", [[e0], [wrong[0]], [e1, wrong[1]]])):
+        stream = TriageStream(spark, str(tmp_path / name), scorer=rubric_scorer, now=T0)
+        for n, part in enumerate(parts):
+            stream.process(batch(part), n)
+        decided = {r.event_id: r for r in stream.table("decided").collect()}
+        assert decided["e0"].is_new_session and not decided["e1"].is_new_session
+        assert decided["e1"].incident_group_key == decided["e0"].incident_group_key
+
+
 def test_stream_replay_and_redelivery(spark, tmp_path):
     from alertloom.operators.scoring import rubric_scorer
     from alertloom.streaming.triage import TriageStream
