@@ -155,43 +155,41 @@ def _carried_steps(slots: DataFrame, slot_us: int) -> DataFrame:
     day_slots, burst_slots = DAY_S * MICROS // slot_us, BURST_S * MICROS // slot_us
     by_rule = Window.partitionBy("key", "rule").orderBy("slot")
     next_first = F.expr("lead(first_us) ignore nulls over (partition by key, rule order by slot)")
-    slots = slots.repartition("key").select(
+    slots = slots.select(
         "*",
         F.sum("n").over(by_rule.rangeBetween(-day_slots, -1)).alias("d_related"),
         F.when(F.col("rule").isNotNull() & (F.col("n") > 0),
                F.least(next_first, F.col("last_us") + F.lit(DAY_S * MICROS))).alias("out_us"))
 
-    def spell(slot: Column, n: Column, probes: Column, last: Column, d: Column, us: Column) -> Column:
-        return F.struct(slot.alias("slot"), n.alias("n"), probes.alias("probes"), last.alias("last_us"),
-                        d.cast("long").alias("d"), us.alias("us"))
-
-    zero, present = F.lit(0).cast("long"), F.col("out_us").isNotNull()
-    spells = _exploded(
-        slots,
-        [spell(F.col("slot"), F.col("n"), F.col("probes"), F.col("last_us"), F.when(present, 1).otherwise(0),
-               F.when(present, F.col("first_us"))),
-         F.when(present, spell(cell_of(F.col("out_us"), slot_us), zero, zero, F.lit(None).cast("long"),
-                               F.lit(-1), F.col("out_us")))],
-        "slot", "key", "rule", "d_related")
+    # Totals of a key per slot, summed on the map side first: as many rows as there are slots, whatever the rules.
+    def part(slot: Column, n: Column, probes: Column, last: Column, d: int) -> Column:
+        return F.struct(slot.alias("slot"), n.cast("long").alias("n"), probes.cast("long").alias("probes"),
+                        last.cast("long").alias("last_us"), F.lit(d).cast("long").alias("d"))
+
+    present, none = F.col("out_us").isNotNull(), F.lit(None)
+    coming = part(F.col("slot"), F.col("n"), F.col("probes"), F.col("last_us"), 1)
+    staying = part(F.col("slot"), F.col("n"), F.col("probes"), F.col("last_us"), 0)
+    leaving = part(cell_of(F.col("out_us"), slot_us), F.lit(0), F.lit(0), none, -1)
+    totals = _exploded(slots, [F.when(present, coming).otherwise(staying), F.when(present, leaving)], "slot", "key").groupBy(
+        "key", "slot").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.max("last_us").alias("last_us"),
+                           F.sum("probes").alias("probes"))
     by_slot = Window.partitionBy("key").orderBy("slot")
-    before = by_slot.rangeBetween(Window.unboundedPreceding, -1)
-    spells = spells.select(
-        "*",
-        F.sum("n").over(by_slot.rangeBetween(-burst_slots, -1)).alias("burst"),
-        F.sum("d").over(before).alias("rules"),
-        F.max("last_us").over(before).alias("seen"),
-        F.sum("probes").over(by_slot.rangeBetween(0, 0)).alias("slot_probes"),
-        F.lag("slot").over(by_slot).alias("slot_above"),
-    )
+    before = by_slot.rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        "key", "slot", "probes", F.sum("n").over(by_slot.rangeBetween(-burst_slots, -1)).alias("burst"),
+        F.sum("d").over(before).alias("rules"), F.max("last_us").over(before).alias("seen")).where("probes > 0")
     start = F.col("slot") * slot_us - 1  # just before the slot: seen by all of its rows
-    once = ~F.col("slot").eqNullSafe(F.col("slot_above")) & (F.col("slot_probes") > 0)
-    asked = (F.col("probes") > 0) & (F.col("d_related") > 0) & F.col("rule").isNotNull()
     key = F.col("key")
-    return _exploded(spells, [
-        F.when(F.col("d") != 0, _step(key, F.col("us"), rules=F.col("d"))),
-        F.when(once, _step(key, start, burst=F.col("burst"), rules=F.col("rules"), seen=F.col("seen"))),
-        F.when(asked, _step(key, start, F.col("rule"), related=F.col("d_related"))),
-    ], "key", "slot")
+    asked = (F.col("probes") > 0) & (F.col("d_related") > 0) & F.col("rule").isNotNull()
+    of_rules = _exploded(slots, [
+        F.when(present, F.struct(F.col("slot").alias("slot"), _step(key, F.col("first_us"), rules=1).alias("step"))),
+        F.when(present, F.struct(cell_of(F.col("out_us"), slot_us).alias("slot"),
+                                 _step(key, F.col("out_us"), rules=-1).alias("step"))),
+        F.when(asked, F.struct(F.col("slot").alias("slot"),
+                               _step(key, start, F.col("rule"), related=F.col("d_related")).alias("step"))),
+    ], "step").select("step.*", "slot")
+    of_key = carried.select(_step(key, start, burst=F.col("burst"), rules=F.col("rules"), seen=F.col("seen")).alias("step"), "slot")
+    return of_rules.unionByName(of_key.select("step.*", "slot"))
 
 
 def edge_slots(first_us: Column, last_us: Column, at: Column, slot_s: int = SLOT_S) -> Column:

@@ -46,22 +46,36 @@ def counter(df: DataFrame, name: str, label: str | None = None, value: Column |
     return counted.select(F.lit(name).alias("name"), F.lit(label or "").alias("label"), "label_value", "count")
 
 
+def _tally(df: DataFrame, *counted: tuple[str, str | None, Column]) -> DataFrame:
+    """Several counters of one frame in one pass: (name, label, the label's value or null where a row does not count)."""
+    for name, label, _ in counted:
+        check_labels(name, (label,) if label else ())
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(label or "").alias("label"), value.cast("string").alias("label_value"))
+        for name, label, value in counted])
+    return df.select(F.inline(rows)).where("label_value is not null").groupBy("name", "label", "label_value").agg(
+        F.count("*").alias("count"))
+
+
 def pipeline_counters(normalized: DataFrame, resolved: DataFrame, decided: DataFrame) -> DataFrame:
-    """All counters of one run, from the normalizer's, resolver's and decision frames."""
-    ok = F.size("violations") == 0
-    valid = F.col("output").isNotNull()
+    """All counters of one run, from the normalizer's, resolver's and decision frames, each read once."""
+    def where(condition: Column, value: str = "") -> Column:
+        return F.when(condition, F.lit(value))
+
+    ok, valid = F.size("violations") == 0, F.col("output").isNotNull()
     return reduce(DataFrame.unionByName, [
-        counter(normalized.where(ok), "soc_collector_published_total"),
-        counter(normalized.where(~ok), "soc_collector_quarantined_total"),
-        counter(resolved, "soc_classify_total", "outcome", F.when(valid, "success").otherwise("parse_failure")),
-        counter(resolved, "soc_events_processed_total", "outcome", F.when(valid, "success").otherwise("dead_letter")),
-        counter(resolved.where(~valid), "soc_deadletter_total", "reason", F.lit("parse_failure")),
-        counter(resolved.where("context.lookup_degraded"), "soc_enrichment_failures_total"),
-        counter(decided, "soc_group_total", "action",
-                F.when(F.col("is_new_session"), "new_session").otherwise("folded")),
-        counter(decided, "soc_notify_total", "decision",
-                F.when(F.col("should_notify"), "notified").otherwise("suppressed")),
-        counter(decided.where("reason = 'age_suppressed'"), "soc_notify_age_suppressed_total", "source_module"),
+        _tally(normalized, ("soc_collector_published_total", None, where(ok)),
+               ("soc_collector_quarantined_total", None, where(~ok))),
+        _tally(resolved,
+               ("soc_classify_total", "outcome", where(valid, "success").otherwise("parse_failure")),
+               ("soc_events_processed_total", "outcome", where(valid, "success").otherwise("dead_letter")),
+               ("soc_deadletter_total", "reason", where(~valid, "parse_failure")),
+               ("soc_enrichment_failures_total", None, where(F.col("context.lookup_degraded")))),
+        _tally(decided,
+               ("soc_group_total", "action", where(F.col("is_new_session"), "new_session").otherwise("folded")),
+               ("soc_notify_total", "decision", where(F.col("should_notify"), "notified").otherwise("suppressed")),
+               ("soc_notify_age_suppressed_total", "source_module",
+                F.when(F.col("reason") == "age_suppressed", F.col("source_module")))),
     ])
 
 

@@ -90,6 +90,18 @@ def bus(spark, d):
         "event_id", "timestamp", "sensor", "summary")
 
 
+def closed_sessions(spark, d):
+    """Append mode: a session is written once, when the watermark has passed its end, and its state is released."""
+    s = event_stream(spark, d).withWatermark("timestamp", "10 minutes")
+    return micros_of(drained(session_windows(s, 6 * 3600), spark), "opened_at", "last_event_at")
+
+
+def closed_rates(spark, d):
+    s = event_stream(spark, d).withWatermark("timestamp", "10 minutes")
+    out = drained(event_rate(s, ["event_type"], "1 hour", "30 minutes"), spark)
+    return micros_of(out, "window_start", "window_end").withColumn("per_second", F.round("per_second", 9))
+
+
 def message_stream(spark, path):
     messages = spark.readStream.schema("data string, timestamp timestamp").option("maxFilesPerTrigger", FILES).parquet(path)
     return messages.select("data")
@@ -123,6 +135,8 @@ QUERIES = {
     "stream_dedupe": dedupe,
     "stream_sessions": sessions,
     "stream_event_rate": rates,
+    "stream_sessions_append": closed_sessions,
+    "stream_event_rate_append": closed_rates,
     "stream_bus": bus,
     "stream_bus_quarantine": bus_quarantined,
     "stream_triage": triage_decisions,
@@ -131,6 +145,8 @@ QUERIES = {
 from catalog.health import ORACLES as HEALTH_ORACLES  # noqa: E402
 from catalog.triage import _CTX, ORACLES as TRIAGE_ORACLES  # noqa: E402
 
+# What the watermark has passed at the end: the last event's millisecond less the delay.
+_PASSED = "(select max(epoch_us(ts)) // 1000 * 1000 - 600000000 from events)"
 _NO_LOSS = DECIDED_SQL.replace("event_no % 23 = 0", "false").replace("event_no % 23 <> 0", "true")
 
 ORACLES = {
@@ -138,6 +154,8 @@ ORACLES = {
     "stream_dedupe": f'with {ALERTS_SQL} select event_id, us as "timestamp" from alerts',
     "stream_sessions": TRIAGE_ORACLES["session_windows"],
     "stream_event_rate": HEALTH_ORACLES["event_rate_sliding"],
+    "stream_sessions_append": f"select * from ({TRIAGE_ORACLES['session_windows']}) where last_event_at + {6 * 3600 * 1_000_000 + 1} <= {_PASSED}",
+    "stream_event_rate_append": f"select * from ({HEALTH_ORACLES['event_rate_sliding']}) where window_end <= {_PASSED}",
     "stream_bus": f'with {ALERTS_SQL} select event_id, us as "timestamp", sensor, summary from alerts',
     "stream_bus_quarantine": f"""{BUS_SQL} select event_id, case when violations = '' then sensor end as sensor, violations from bus""",
     "stream_triage": f"""with {_NO_LOSS} select event_id, classification, incident_group_key, is_new_session, escalated,
