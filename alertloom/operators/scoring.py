@@ -15,7 +15,6 @@ MAX_ATTEMPTS = 2
 SENSITIVE_PATHS = ("/etc/passwd", "/etc/shadow", "/etc/sudoers", "sshd_config", "crontab")
 PACKAGE_PATHS = ("/var/lib/dpkg/", "/var/cache/apt/")
 LOGIN_WORDS = ("auth", "login", "ssh", "brute")
-SUCCESS_WORDS = ("success", "accepted")
 HOST_KINDS = ("syscheck", "rootcheck", "fim")
 NETWORK_KINDS = ("NIDS", "ids", "suricata")
 
@@ -49,8 +48,6 @@ def rubric_label(fold_case: bool = False, context: str = "context") -> Column:
         .when(ctx["src_in_allowlist"], "informational")
         .when(kind.isin(*network) & busy, "alert")
         .when(kind.isin(*network) & unheard, "noise")
-        # A login that succeeded and one that failed are judged by the same burst count.
-        .when(_contains_any(sig, LOGIN_WORDS) & _contains_any(sig, SUCCESS_WORDS), login)
         .when(_contains_any(sig, LOGIN_WORDS), login)
         .when(F.contains("signature", F.lit("[neutralized]")), "alert")
     )

@@ -120,8 +120,21 @@ _TEXT = {
     "timestamp": "concat(strftime(\"timestamp\", '%Y-%m-%dT%H:%M:%S.%f'), 'Z')",
     "signature": "case when event_no % 11 = 0 then 'x <context> y' else signature end",
 }
-_JSON = "concat('{', concat_ws(',', " + ", ".join(
-    f"""case when {_TEXT.get(c, c)} is not null then concat('"{c}":"', {_TEXT.get(c, c)}, '"') end""" for c in _ORDER) + "), '}')"
+
+
+def event_json_sql(texts: dict[str, str], escaped: tuple[str, ...] = ()) -> str:
+    """An alert's JSON; ``texts`` are SQL for other values of some columns, ``escaped`` those that need escapes."""
+    texts = {k: v for k, v in _TEXT.items() if k != "signature"} | texts
+
+    def member(c: str) -> str:
+        text = texts.get(c, c)
+        value = f"to_json({text})" if c in escaped else f"""'"', {text}, '"'"""
+        return f"""case when {text} is not null then concat('"{c}":', {value}) end"""
+
+    return "concat('{', concat_ws(',', " + ", ".join(map(member, _ORDER)) + "), '}')"
+
+
+_JSON = event_json_sql({"signature": _TEXT["signature"]})
 
 
 
