@@ -2,12 +2,14 @@
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.functions.columns import blank_to_null, computed_once, let, severity_of
 from alertloom.schemas import CLASSIFICATIONS, DEAD_LETTER, MODEL_OUTPUT
+from alertloom.session import stage
 
 MAX_ATTEMPTS = 2
 
@@ -142,6 +144,26 @@ def resolve_attempts(df: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFra
         F.col("output").isNull(), F.array_distinct("_last")).alias("failed_rules"))
 
 
+def retrying(ask: Callable[[DataFrame, int], DataFrame], max_attempts: int = MAX_ATTEMPTS) -> Scorer:
+    """A scorer that asks again only where the last answer was invalid.
+
+    ``ask(rows, attempt)`` adds ``answer`` to the rows it is given, knowing the attempt's number (from 1).  Each
+    attempt's answers are written once, so that a costly one is not asked again for the next.
+    """
+    def score(df: DataFrame) -> DataFrame:
+        none = F.array().cast("array<string>")
+        open_, done = df.withColumn("attempts", none), []
+        for attempt in range(1, max_attempts + 1):
+            asked = ask(open_, attempt).withColumn("attempts", F.concat("attempts", F.array("answer"))).drop("answer")
+            judged = computed_once(asked, *asked.columns, _broken=judge_output(F.element_at("attempts", -1))["broken"])
+            judged = stage(judged.withColumn("_valid", F.size("_broken") == 0).drop("_broken"), f"attempt-{attempt}")
+            last = attempt == max_attempts
+            done.append((judged if last else judged.where("_valid")).drop("_valid"))
+            open_ = judged.where("not _valid").drop("_valid")
+        return reduce(DataFrame.unionByName, done)
+    return score
+
+
 def scored_rows(resolved: DataFrame) -> DataFrame:
     """Rows with a valid answer, its five columns in place (event summary moves aside)."""
     keep = [c for c in resolved.columns if c not in ("attempts", "output", "failed_rules", "summary")]

@@ -1,5 +1,6 @@
 """Alerts to triage records, dead letters, incidents and notification outboxes."""
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -17,6 +18,9 @@ from alertloom.operators.sessions import GAP_S, incident_rollup
 from alertloom.session import stage
 
 
+Enricher = Callable[[DataFrame], DataFrame]
+
+
 @dataclass
 class Triage:
     """Frames of one run.  ``resolved`` and ``decided`` are tables when staged."""
@@ -54,7 +58,7 @@ def triage(events: DataFrame, history: DataFrame | None, now: datetime | Column,
            allowlist: str | list[str] | DataFrame | None = None, degraded: Column | None = None,
            threshold: float = _decide.CONFIDENCE_THRESHOLD, max_age_s: float = _decide.MAX_EVENT_AGE_S,
            gap_s: int = GAP_S, open_sessions: DataFrame | None = None,
-           past_slots: DataFrame | None = None, staged: bool = True) -> Triage:
+           past_slots: DataFrame | None = None, staged: bool = True, enrichers: tuple[Enricher, ...] = ()) -> Triage:
     """Enrich, score, resolve, group and decide.
 
     The scored rows feed the session summary, the session join and the dead letters, and
@@ -62,8 +66,11 @@ def triage(events: DataFrame, history: DataFrame | None, now: datetime | Column,
 
     A finding counts as seen if a record of another event of its alert is in ``triaged``, or an earlier event of
     this run got a valid answer.  The scorer sees the former; the latter is known once the answers are judged.
+    ``enrichers`` add columns of their own to the rows with their context, for the scorer and for what follows.
     """
     enriched = enrich(events, history, triaged, allowlist, degraded, past_slots, within=False)
+    for enricher in enrichers:
+        enriched = enricher(enriched)
     resolved = resolve_attempts(scorer(enriched))
     if staged:
         resolved = stage(resolved, "resolved")

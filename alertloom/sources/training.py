@@ -1,6 +1,7 @@
 """Labelled alert files: CSV with a header, and JSON lines."""
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,15 @@ def read_labelled_csv(spark: SparkSession, path: str, now: datetime | Column, so
     return normalize_rows(rows, now)
 
 
+def read_labelled_sources(spark: SparkSession, now: datetime | Column, public_csv: tuple[str, ...] = (),
+                          raw_csv: tuple[str, ...] = (), lines: tuple[str, ...] = (), multi_line: bool = True) -> DataFrame:
+    """All rows of several sources, in one set of columns."""
+    frames = [read_labelled_csv(spark, p, now, "public", multi_line) for p in public_csv]
+    frames += [read_labelled_csv(spark, p, now, "raw", multi_line) for p in raw_csv]
+    frames += [read_labelled_lines(spark, p, now) for p in lines]
+    return reduce(DataFrame.unionByName, frames)
+
+
 # Any event column by name, its context columns and the label; everything as text
 # except the technique list.
 LINE_SCHEMA = T.StructType(

@@ -8,7 +8,7 @@ from alertloom.operators.history import enrich
 from alertloom.operators.metrics import pipeline_counters
 from alertloom.operators.notices import age_notices, coalesce_notices, degradation_notices
 from alertloom.operators.scoring import (
-    dead_letters, resolve_attempts, rubric_label, rubric_scorer, validate_output)
+    dead_letters, resolve_attempts, retrying, rubric_label, rubric_scorer, validate_output)
 from alertloom.operators.sessions import incident_rollup, sessionize
 from alertloom.plans.triage import notice_outbox, notification_outbox, triage
 from alertloom.schemas import CONTEXT, NOTIFICATION
@@ -167,6 +167,25 @@ def counters(spark, d):
     return pipeline_counters(normalized(spark, d), r.resolved, r.decided)
 
 
+def retried(spark, d):
+    """Answers that differ by attempt; only rows with an invalid one are asked again."""
+    def ask(rows, attempt):  # the varied scorer writes a column ``attempts`` of its own
+        answers = varied_scorer(rows.withColumnRenamed("attempts", "so_far"))
+        return answers.withColumn("answer", F.get("attempts", F.lit(attempt - 1))).drop("attempts").withColumnRenamed("so_far", "attempts")
+
+    out = resolve_attempts(retrying(ask)(enriched(spark, d)))
+    return out.select("event_id", F.size("attempts").alias("attempts"), F.col("output").isNotNull().alias("answered"),
+                      "output.classification")
+
+
+def plugged(spark, d):
+    """An enricher of one's own: its column reaches the decided rows."""
+    def weekend(rows):
+        return rows.withColumn("weekend", F.dayofweek("timestamp").isin(1, 7))
+
+    return run(spark, d, enrichers=(weekend,)).decided.select("event_id", "weekend")
+
+
 QUERIES = {
     "rubric_label": rubric,
     "rubric_scorer": rubric_answers,
@@ -180,6 +199,8 @@ QUERIES = {
     "notifications": notifications,
     "rendered_notifications": outbox,
     "resolve_attempts": attempts,
+    "retried_attempts": retried,
+    "own_enricher": plugged,
     "dead_letters": failed,
     "validate_outputs": validate,
     "system_notices": notices,
@@ -279,6 +300,9 @@ ORACLES = {
       select incident_group_key, 'slack', concat('{{"text":', cast(to_json({_marked}) as varchar), ',"mrkdwn":true}}') from sent""",
     "resolve_attempts": f"""with {SCORED_SQL} select event_id, true as answered, classification, actions as suggested_actions from scored
       union all select event_id, false, null, null from alerts where event_no % 19 = 0""",
+    "retried_attempts": f"""with {SCORED_SQL} select event_id, case when event_no % 19 = 1 then 2 else 1 end as attempts, true as answered,
+        classification from scored union all select event_id, 2, false, null from alerts where event_no % 19 = 0""",
+    "own_enricher": f"""with {ALERTS_SQL} select event_id, dayofweek("timestamp") in (0, 6) as weekend from alerts where event_no % 19 <> 0""",
     "dead_letters": f"""with {ALERTS_SQL} select source_alert_id as alert_id, event_id, 'wazuh' as source_module, sensor,
         severity_hint as severity, 'parse_failure' as reason, 2 as retry_count, us as dead_lettered_at,
         '{_DETAIL}' as detail from alerts where event_no % 19 = 0""",
