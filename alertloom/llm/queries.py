@@ -98,7 +98,20 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(
   sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit using (doc_id) left join items using (doc_id)"""
 
+OP3_SQL = r"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+ windows as (select doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) as k
+   from (select *, unnest(range(1, len(w) - 48)) as p from d where len(w) >= 50)),
+ again as (select doc_id, p from windows join (select k, min(doc_id) as low from windows group by k) using (k) where low < doc_id),
+ gone as (select distinct doc_id, unnest(range(p, p + 50)) as i from again),
+ words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d),
+ kept as (select doc_id, count(g) as n_removed, string_agg(word, ' ' order by i) filter (g is null) as t
+   from words left join (select doc_id, i, true as g from gone) using (doc_id, i) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)"""
+
 ORACLES: dict[str, str] = {
+    "op3_relative_lz": OP3_SQL,
     "op5_url_filter": url_filter.judge_sql(URL_RULES),
     "op6_wu_manber": OP6_SQL,
     "op10_licenses": licenses.scan_sql(licenses.BASE + licenses.NOTICES, _WORDS),
