@@ -1,8 +1,12 @@
 """Queries over metric samples: histograms, quantiles, rates, alarms."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.operators.alarms import Alarm, any_alarm, evaluate_alarm
+from alertloom.operators.alarms import (
+    DISK_FULL, GPU_BUSY, GPU_MEMORY, INSTANCE_DOWN, Alarm, any_alarm, evaluate_alarm)
 from alertloom.operators.metrics import (
     APPEND_EDGES, READ_EDGES, TRIAGE_EDGES, bucket_quantile, busy_percent, counter, counter_rate,
     latency_histogram, top_series)
@@ -72,6 +76,25 @@ def alarm(a):
     return q
 
 
+# The stock alarms over the samples, scaled so that each is crossed now and then.
+_STOCK = [(INSTANCE_DOWN, "case when value > 20 then 1.0 else 0.0 end"), (DISK_FULL, "value * 4"), (GPU_BUSY, "value * 12"),
+          (GPU_MEMORY, "value * 3000")]
+
+
+def stock_states(spark, d):
+    s = samples(spark, d)
+    return [(a, evaluate_alarm(s.withColumn("value", F.expr(scaled).cast("double")), a, ["event_type"])) for a, scaled in _STOCK]
+
+
+def stock(spark, d):
+    states = [e.withColumn("name", F.lit(a.name)) for a, e in stock_states(spark, d)]
+    return micros_of(reduce(DataFrame.unionByName, states), "period_start").withColumn("statistic", F.round("statistic", 4))
+
+
+def stock_composite(spark, d):
+    return micros_of(any_alarm([e for _, e in stock_states(spark, d)], ["event_type"]), "period_start")
+
+
 def composite(spark, d):
     s = samples(spark, d)
     return micros_of(any_alarm([evaluate_alarm(s, a, ["event_type"]) for a in (_HIGH, _PEAK)], ["event_type"]), "period_start")
@@ -103,6 +126,8 @@ QUERIES = {
     "threshold_alarm": alarm(_HIGH),
     "peak_alarm": alarm(_PEAK),
     "composite_alarm": composite,
+    "stock_alarms": stock,
+    "stock_alarms_composite": stock_composite,
     "event_rate_5min": windows("5 minutes", None),
     "event_rate_sliding": windows("1 hour", "30 minutes"),
     "label_counter": counters,
@@ -139,12 +164,12 @@ def _rate(by, range_s, step_s=None, extrapolate=True, source="s"):
       rates as (select {by}, w + {rng} as "at", {ext if extrapolate else 'inc / span'} as rate from est)"""
 
 
-def _alarm(a, name="a"):
+def _alarm(a, name="a", source="s"):
     agg, cmp = a.statistic, a.comparison
     p = a.period_s * 1_000_000
     frame = (f"rows between {a.periods - 1} preceding and current row" if a.missing == "missing"
              else f"range between {a.periods - 1} preceding and current row")
-    return f"""{name}_p as (select event_type, us - us % {p} as period_start, {agg}(value) as statistic, us // {p} as no from s group by event_type, us - us % {p}, us // {p}),
+    return f"""{name}_p as (select event_type, us - us % {p} as period_start, {agg}(value) as statistic, us // {p} as no from {source} group by event_type, us - us % {p}, us // {p}),
       {name} as (select event_type, period_start, statistic, statistic {cmp} {a.threshold} as breaching,
         min(case when statistic {cmp} {a.threshold} then 1 else 0 end) over w = 1 and count(*) over w = {a.periods} as in_alarm
         from {name}_p window w as (partition by event_type order by no {frame}))"""
@@ -157,6 +182,12 @@ def _windows(width_s, slide_s):
       select start_us as window_start, start_us + {w} as window_end, event_type, count(*) as events, round(count(*) / {float(width_s)}, 9) as per_second from k group by start_us, event_type"""
 
 
+def _stock_sql():
+    parts = [f"s{i} as (select * replace (cast({scaled} as double) as value) from s), {_alarm(a, f'a{i}', f's{i}')}"
+             for i, (a, scaled) in enumerate(_STOCK)]
+    return f"with {_S}, " + ", ".join(parts)
+
+
 ORACLES = {
     "latency_histogram": f"with {_S} {_hist(TRIAGE_EDGES, 1.0)}",
     "append_histogram": f"with {_S} {_hist(APPEND_EDGES, '0.01::double')}",
@@ -174,6 +205,11 @@ ORACLES = {
       select * from (select "at", instance, event_type, rate, row_number() over (partition by "at" order by rate desc, instance, event_type) as rank from r) where rank <= 8""",
     "threshold_alarm": f"with {_S}, {_alarm(_HIGH)} select event_type, period_start, round(statistic, 6) as statistic, breaching, in_alarm from a",
     "peak_alarm": f"with {_S}, {_alarm(_PEAK)} select event_type, period_start, round(statistic, 6) as statistic, breaching, in_alarm from a",
+    "stock_alarms": _stock_sql() + " " + " union all ".join(
+        f"select event_type, period_start, round(statistic, 4) as statistic, breaching, in_alarm, '{a.name}' as name from a{i}"
+        for i, (a, _) in enumerate(_STOCK)),
+    "stock_alarms_composite": _stock_sql() + " select event_type, period_start, bool_or(in_alarm) as in_alarm from (" + " union all ".join(
+        f"select event_type, period_start, in_alarm from a{i}" for i in range(len(_STOCK))) + ") group by all",
     "composite_alarm": f"""with {_S}, {_alarm(_HIGH, 'a')}, {_alarm(_PEAK, 'b')} select event_type, period_start, bool_or(in_alarm) as in_alarm
       from (select event_type, period_start, in_alarm from a union all select event_type, period_start, in_alarm from b) group by all""",
     "event_rate_5min": _windows(300, 300),
