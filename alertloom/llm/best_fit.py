@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from alertloom.llm.rows import arrow_map, as_bytes, sliced
-from alertloom.llm.tokens import END_ID, WORD_TOKENIZER, WordTokens, tokenizer_path
+from alertloom.llm.tokens import END_ID, WORD_TOKENIZER, tokenizer_path, word_tokens
 
 
 class CapacityTree:
@@ -72,7 +72,7 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def _columns(length: int, tokenizer: str, end: int | None, pad: int, group_ids: int):
     def run(batches):
-        words = WordTokens(tokenizer_path(tokenizer))
+        words = word_tokens(tokenizer_path(tokenizer))
         width, task, made = words.dtype.itemsize, TaskContext.get().partitionId(), 0
         pieces: list[tuple[pa.Array, int, bytes]] = []  # id, first token in its document, ids
 

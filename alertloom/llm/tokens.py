@@ -2,6 +2,7 @@
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -30,7 +31,7 @@ class WordTokens:
     holds ``most`` entries, which costs time and changes no id.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -104,6 +105,12 @@ class WordTokens:
         return out
 
 
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One per worker process, so that its tasks share what has been encoded."""
+    return WordTokens(path)
+
+
 def tokenizer_path(name: str = WORD_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
@@ -115,7 +122,7 @@ def token_table(df: DataFrame, keep: tuple[str, ...], text: str = "_text", token
     Null texts count as empty; with an end id every document has at least one id.
     """
     def run(batches):
-        words = WordTokens(tokenizer_path(tokenizer))
+        words = word_tokens(tokenizer_path(tokenizer))
         width = words.dtype.itemsize
         for batch in sliced(batches, 256):
             ids = words.encode(as_bytes(batch.column(batch.num_columns - 1)), end)
