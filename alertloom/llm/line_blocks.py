@@ -1,10 +1,14 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one per block of the page.  Lines of containers that never hold the article (menus,
-headers, footers, sidebars, notices, adverts, forms, comments), and lines outside a marked article where there is
-one, count as length 0 but keep their place, so that gaps show.  Text lengths without links are summed over a sliding
-window of lines; the text surges where the sum rises from nothing and passes the level, and dives where the sum is
-back at nothing.  What lies between a surge and its dive is kept, all of its lines.
+headers, footers, sidebars, notices, adverts, forms, comments) count as length 0 but keep their place, so that gaps
+show.  Text lengths without links are summed over a sliding window of lines; the text surges where the sum rises from
+nothing and passes the level, and dives where the sum is back at nothing.  What lies between a surge and its dive is
+kept, all of its lines.
+
+A marked article (``article``, ``main``) is evidence, not a verdict.  Stretches end at its borders, and each of its
+lines has the level added to its length, so that all of them surge.  A stretch outside is kept beside it where it passes
+the level and is denser (by its largest sum) or longer than every marked article of the page.
 """
 
 import html
@@ -61,18 +65,21 @@ def _beside(tag: str, attributes: dict[str, str]) -> bool:
     return bool(names & NAMES) and not names & MAIN_NAMES and tag not in ("html", "body", "article", "main")
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """``(text, characters outside links, in a marked article)`` of every block; beside-the-article blocks are empty."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """``(text, characters outside links, marked article)`` of every block; beside-the-article blocks are empty.
+
+    Outermost marked articles are numbered from 1; 0 is outside.
+    """
+    out: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    own = link = article = at = 0
+    own = link = article = number = 0
     skipped, depth, headings = "", 0, 0  # the element being passed over, how deep in its own name
 
     def close():
         nonlocal own
         text = " ".join("".join(parts).split())
         if text or not out or out[-1][0]:
-            out.append((text, own if text else 0, article > 0))
+            out.append((text, own if text else 0, number if article else 0))
         parts.clear()
         own = 0
 
@@ -135,9 +142,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         attributes = _attributes(match[3])
         if _beside(tag, attributes):
             close()
-            out.append(("", 0, article > 0))
+            out.append(("", 0, number if article else 0))
             skipped, depth = tag, 1
         elif tag in ARTICLE:
+            number += not article
             article += 1
         elif tag == "a":
             link = 1
@@ -145,16 +153,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_text(page: str | None, width: int = 3, level: int = 86) -> str:
-    """The article's blocks, one per line."""
-    lines = lines_of(page) if page else []
-    marked = any(inside and text for text, _, inside in lines)
-    sizes = [own if inside or not marked else 0 for _, own, inside in lines]
-    shown = [i for i, (text, _, inside) in enumerate(lines) if text and (inside or not marked)]
-    if marked:  # the author says where the article is: everything in it surges
-        return "\n".join(lines[i][0] for i in shown)
+def _stretches(sizes: list[int], width: int) -> list[tuple[range, int]]:
+    """From surge to dive, first to last line with a size, and the largest sum, of every run of sums above nothing."""
     sums = [sum(sizes[i:i + width]) for i in range(len(sizes))]
-    kept, best, i = [], [], 0
+    out, i = [], 0
     while i < len(sums):
         if not sums[i]:
             i += 1
@@ -162,16 +164,33 @@ def main_text(page: str | None, width: int = 3, level: int = 86) -> str:
         end = i
         while end < len(sums) and sums[end]:
             end += 1
-        between = range(i, min(end + width - 1, len(lines)))
-        # shorten to the first and last line with text of its own
-        own = [j for j in between if sizes[j]]
-        between = range(own[0], own[-1] + 1)
-        if max(sums[i:end]) >= level:
-            kept.append(between)
-        if sum(sizes[j] for j in between) > sum(sizes[j] for j in best):
-            best = between
+        own = [j for j in range(i, min(end + width - 1, len(sizes))) if sizes[j]]
+        out.append((range(own[0], own[-1] + 1), max(sums[i:end])))
         i = end
-    return "\n".join(lines[j][0] for part in kept or [best] for j in part if lines[j][0])
+    return out
+
+
+def main_text(page: str | None, width: int = 3, level: int = 86) -> str:
+    """The article's blocks, one per line."""
+    lines = lines_of(page) if page else []
+    kept: set[int] = set()
+    dense = long = 0  # of the marked articles, without what being marked adds
+    for number in sorted({mark for text, _, mark in lines if mark and text}):
+        inside = [i for i, (_, _, mark) in enumerate(lines) if mark == number]
+        plain = [lines[i][1] for i in inside]
+        dense = max(dense, max(sum(plain[i:i + width]) for i in range(len(plain))))
+        long = max(long, sum(plain))
+        sizes = [own + max(1, level) if lines[i][0] else 0 for i, own in zip(inside, plain)]
+        kept.update(inside[j] for part, most in _stretches(sizes, width) if most >= level for j in part)
+    marked = bool(kept)
+    sizes = [0 if mark else own for _, own, mark in lines]
+    found = [(part, most, sum(sizes[j] for j in part)) for part, most in _stretches(sizes, width)]
+    passed = [part for part, most, total in found
+              if most >= level and (not marked or most > dense or total > long)]
+    if not passed and not marked:
+        passed = [part for part, _, _ in sorted(found, key=lambda f: -f[2])[:1]]
+    kept.update(j for part in passed for j in part if not lines[j][2])
+    return "\n".join(lines[j][0] for j in sorted(kept) if lines[j][0])
 
 
 def _text_columns(width: int, level: int):
@@ -187,7 +206,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``(<id>, <url>, text, n_chars)`` for every row, the whole page read, nothing cut.
 
     Null and empty pages, and pages without any text, have an empty text.  A page without a stretch that passes the
-    level keeps its longest one.  Repeated rows repeat; rows with a null id or URL are kept.
+    level and without marked text keeps its longest one.  Repeated rows repeat; rows with a null id or URL are kept.
     """
     rows = pages.select(pages[id_col].alias("_id"), pages[url_col].alias("_url"), pages[html_col].alias("_html"))
     out = arrow_map(rows, _text_columns(width, level), fields(

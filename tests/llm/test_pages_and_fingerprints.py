@@ -28,6 +28,34 @@ def test_pages(page, text):
     assert line_blocks.main_text(page) == text
 
 
+@pytest.mark.parametrize("card", ["<article><h2><a>Next</a></h2><p>a teaser of another page</p></article>",
+                                  "<main><p>" + "card " * 30 + "</main>", "<article><p>" + "one long line " * 12 + "</article>" * 2])
+def test_an_article_that_is_a_teaser_does_not_hide_the_body(card):
+    body = [("body " * 40).strip(), "short line", ("more " * 30).strip(), ("last " * 25).strip()]
+    blocks = "".join(f"<p>{b}</p>" for b in body)
+    alone = [line_blocks.main_text(f"<div>{blocks}</div>"), line_blocks.main_text(card)]
+    assert alone[0] == "\n".join(body)
+    for page, parts in ((f"<div>{blocks}</div>{card}", alone), (f"{card}<div>{blocks}</div>", alone[::-1]),
+                        (f"{card}<nav>x</nav><div>{blocks}</div>{card}", [alone[1], *alone])):
+        assert line_blocks.main_text(page) == "\n".join(parts)
+    split = line_blocks.main_text(f"<div>{blocks}</div>{card}<div><p>its tail</p></div><div class=ad>no</div><footer>no</footer>")
+    assert split.startswith(alone[0]) and "no" not in split.split("\n")
+    long = f"<article>{blocks * 3}</article><div><p>{'thin ' * 20}</p></div>"
+    assert line_blocks.main_text(long) == "\n".join(body * 3)  # what is neither denser nor longer stays outside
+
+
+def test_given_pages_without_their_marks(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()]
+    plain = [re.sub("(</?)article>", r"\1div>", p) for p in pages]
+    texts = [line_blocks.main_text(p) for p in pages]
+    assert all(t for t in texts) and texts == [line_blocks.main_text(p) for p in plain]
+    # a teaser marked in front of an unmarked body hides nothing of it where the body passes the level
+    card = "<article><p>Teaser</p></article>"
+    for text, page in zip(texts, plain):
+        most = max(m for _, m in line_blocks._stretches([own for _, own, _ in line_blocks.lines_of(page)], 3))
+        assert line_blocks.main_text(page.replace("<body>", "<body>" + card)) == ("Teaser\n" + text if most >= 86 else "Teaser")
+
+
 def test_page_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r for r in line_blocks.extract(pages.withColumns({c: F.lit(1) for c in ("text", "n_chars", "_html")})).collect()}
