@@ -2,11 +2,14 @@
 
 Every rolling run of ``gram`` words of a text is hashed; runs whose hash is one of the templates' are joined with the
 template positions they equal, word for word.  A match of text place p with template place q votes for diagonal p - q.
-A whole phrase is one diagonal with a vote from every place of its template.  An edited one spreads over neighbouring
-diagonals, which are merged when they lie at most ``slack`` words apart; the merged span is verified by the share of
-the template it covers and by its length.
-
-A text's grams never leave its row unless a template has them, so the exchange carries votes, not words.
+A whole phrase is one diagonal with a vote from every place of its template, and always counts.  An edited one spreads
+over neighbouring diagonals, which are merged when they lie at most ``slack`` words apart; the merged span is verified
+by the share of the template's grams it covers and by its length.  As one edit breaks several grams, the words around a
+diagonal are also aligned with the template's, and the share of words in common decides.  Words that tell a license
+from its siblings (lesser, affero, noncommercial) decide over both.
+
+A text's grams never leave its row unless a template has them; the exchange carries votes, and the words of texts that
+have any.
 """
 
 from dataclasses import dataclass
@@ -25,6 +28,8 @@ class Template:
     label: str
     phrase: str
     base: bool = False   # a phrase whose whole occurrences are counted as places
+    needs: tuple[str, ...] = ()  # words that an edited occurrence still has
+    bars: tuple[str, ...] = ()   # runs of words that make an edited occurrence another license's
 
     @property
     def words(self) -> list[str]:
@@ -37,19 +42,23 @@ BASE = (
     Template("apache-2", "apache license version 2", True),
     Template("cc-by-nc", "cc by nc", True),
 )
+_NOT_GPL = ("gnu lesser", "gnu affero", "gnu library")
+_NOT_CC_BY = tuple(f"attribution {x}" for x in (
+    "noncommercial", "non commercial", "sharealike", "share alike", "noderivatives", "noderivs", "no derivatives", "no derivs"))
 NOTICES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-                    "associated documentation files"),
+                    "associated documentation files", bars=("person or organization", "accompanying documentation")),
     Template("apache-2", "you may not use this file except in compliance with the license"),
-    Template("gpl", "licensed under the gnu general public license"),
+    Template("gpl", "licensed under the gnu general public license", needs=("gnu",), bars=_NOT_GPL),
     Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu "
-                    "general public license"),
-    Template("lgpl", "under the terms of the gnu lesser general public license"),
-    Template("agpl", "under the terms of the gnu affero general public license"),
+                    "general public license", needs=("gnu",), bars=_NOT_GPL),
+    Template("lgpl", "under the terms of the gnu lesser general public license", needs=("lesser",)),
+    Template("agpl", "under the terms of the gnu affero general public license", needs=("affero",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
                     "provided that the following conditions are met"),
-    Template("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
-    Template("cc-by", "licensed under a creative commons attribution 4 0 international license"),
+    Template("mpl-2", "subject to the terms of the mozilla public license v 2 0", needs=("mozilla", "2")),
+    Template("cc-by", "licensed under a creative commons attribution 4 0 international license", needs=("attribution",),
+             bars=_NOT_CC_BY),
     Template("all-rights-reserved", "all rights reserved"),
 )
 
@@ -68,8 +77,32 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...], gram: i
     return spark.createDataFrame(rows, "template int, label string, base boolean, places int, m int, q int, words string")
 
 
+def template_words(spark: SparkSession, templates: tuple[Template, ...], gram: int) -> DataFrame:
+    """``(template, masks, needs, bars)``: for each word the bits of its places, null where only grams are compared.
+
+    Those are templates that one edit may leave without a gram, and those with more places than a number has bits.
+    """
+    rows = [(n, {w: sum(1 << q for q, x in enumerate(t.words) if x == w) for w in t.words}
+             if 2 * gram <= len(t.words) < 63 else None, list(t.needs), list(t.bars)) for n, t in enumerate(templates)]
+    return spark.createDataFrame(rows, "template int, masks map<string,bigint>, needs array<string>, bars array<string>")
+
+
+def _aligned(words: Column, masks: Column, m: Column) -> Column:
+    """Length of the longest common subsequence of the words and a template, a bit for each place of the latter."""
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), m) - 1
+
+    def step(open_: Column, word: Column) -> Column:
+        met = open_.bitwiseAND(F.coalesce(F.try_element_at(masks, word), F.lit(0).cast("long")))
+        return (open_ + met).bitwiseOR(open_ - met).bitwiseAND(full)
+
+    return m - F.bit_count(F.aggregate(words, full, step))
+
+
 def gram_hits(docs: DataFrame, templates: DataFrame, gram: int, id_col: str, text_col: str) -> DataFrame:
-    """``(_id, _key, n_words, hits)`` per row: places and words of the grams whose hash a template has."""
+    """``(_id, _key, n_words, hits, text_words)`` per row: places and words of the grams whose hash a template has.
+
+    ``text_words`` are all words of a text with hits, null for others.
+    """
     hashes = [r[0] for r in templates.select(F.xxhash64(*(F.split("words", " ")[i] for i in range(gram)))).distinct().collect()]
     rows = docs.select(docs[id_col].alias("_id"), F.xxhash64(docs[id_col], docs[text_col]).alias("_key"),
                        F.coalesce(docs[text_col], F.lit("")).alias("_text"))
@@ -84,7 +117,8 @@ def gram_hits(docs: DataFrame, templates: DataFrame, gram: int, id_col: str, tex
         lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(gram))).isin(hashes))).otherwise(F.array().cast("array<int>"))
     return placed.withColumn("at", found).select(
         "_id", "_key", F.col("n").cast("long").alias("n_words"), F.transform("at", lambda i: F.struct(
-            (i - F.col("head")).alias("p"), F.array_join(F.slice("w", i + 1, gram), " ").alias("words"))).alias("hits"))
+            (i - F.col("head")).alias("p"), F.array_join(F.slice("w", i + 1, gram), " ").alias("words"))).alias("hits"),
+        F.when(F.size("at") > 0, F.slice("w", F.col("head") + 1, F.col("n"))).alias("text_words"))
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, id_col: str = "doc_id", text_col: str = "text",
@@ -92,9 +126,11 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, id_c
     """``(<id>, n_words, n_base, first_word, last_word, base_labels, labels, score)`` for every row.
 
     A place is a text position from which all words of a base phrase stand in a row; overlapping and nested places
-    all count.  ``labels`` adds those of templates whose merged span covers at least ``cover`` of the template's grams
-    within ``stretch`` times its length; ``score`` is the largest cover of any template.  Both label lists are
-    distinct, sorted and joined by commas (empty if none).  Null and empty texts have no words; repeated rows repeat;
+    all count.  ``labels`` adds those of templates that stand there whole, or whose merged span covers at least ``cover``
+    of the template's grams, or its surroundings that share of its words in order, within ``stretch`` times its length;
+    the latter two need the template's ``needs`` and none of its ``bars``.  Templates under two grams long are compared
+    by grams alone: one edit may leave them without any.  ``score`` is the largest share of grams of any template.  Both
+    label lists are distinct, sorted and joined by commas (empty if none).  Null and empty texts have no words; repeated rows repeat;
     rows with a null id are kept.
     """
     spots = template_grams(docs.sparkSession, templates, gram)
@@ -105,25 +141,54 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, id_c
     diagonals = votes.groupBy(*kind, "diagonal").agg(
         F.collect_list("q").alias("qs"), F.min("p").alias("start"), (F.max("p") + gram).alias("end"))
     in_order = Window.partitionBy("_id", "_key", "template").orderBy("diagonal")
+    at_whole = F.size("qs") == F.col("places")
+    pad = F.least(F.lit(slack), F.floor(F.col("m") * ((stretch - 1) / 2)).cast("int"))
+    # where to look for the template's words, if not all of its grams are there
+    around = F.when(~at_whole & (F.col("m") >= 2 * gram), F.struct(
+        F.lit(False).alias("by_grams"), (F.col("diagonal") - pad).alias("start"),
+        (F.col("diagonal") + F.col("m") + pad).alias("end")))
     merged = diagonals.withColumn(
         "apart", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(in_order) > slack).cast("int"), F.lit(0))).withColumn(
         "span", F.sum("apart").over(in_order)).groupBy(*kind, "span").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("covered"),
-        (F.max("end") - F.min("start")).alias("length"),
-        F.sum(F.when(F.col("base") & (F.size("qs") == F.col("places")), 1).otherwise(0)).alias("whole"),
-        F.min(F.when(F.size("qs") == F.col("places"), F.col("diagonal"))).alias("first"),
-        F.max(F.when(F.size("qs") == F.col("places"), F.col("diagonal"))).alias("last"))
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max(at_whole).alias("exact"),
+        F.collect_list(around).alias("around"),
+        F.sum(F.when(F.col("base") & at_whole, 1).otherwise(0)).alias("whole"),
+        F.min(F.when(at_whole, F.col("diagonal"))).alias("first"),
+        F.max(F.when(at_whole, F.col("diagonal"))).alias("last"))
     share = F.col("covered") / F.col("places")
     is_base = F.col("whole") > 0
-    verified = is_base | ((share >= cover) & (F.col("length") <= F.col("m") * stretch))
+    by_grams = (share >= cover) & (F.col("end") - F.col("start") <= F.col("m") * stretch)
+    edited = F.when(~F.col("exact"), F.struct("template", "label", "m", F.concat("around", F.when(by_grams, F.array(
+        F.struct(F.lit(True).alias("by_grams"), "start", "end"))).otherwise(F.slice("around", 1, 0))).alias("places")))
     per_row = merged.groupBy("_id", "_key").agg(
         F.sum("whole").alias("n_base"), F.min(F.when(is_base, F.col("first"))).alias("first_word"),
         F.max(F.when(is_base, F.col("last"))).alias("last_word"),
         _labels(F.when(is_base, F.col("label"))).alias("base_labels"),
-        _labels(F.when(verified, F.col("label"))).alias("labels"), F.max(share).alias("score"))
+        F.collect_set(F.when(F.col("exact"), F.col("label"))).alias("exact_labels"),
+        F.collect_list(edited).alias("edited"), F.max(share).alias("score"))
     found = per_row.select(F.col("_id").alias("_sid"), F.col("_key").alias("_skey"), *per_row.columns[2:])
-    both = rows.select("_id", "_key", "n_words").join(
+    both = rows.select("_id", "_key", "n_words", "text_words").join(
         found, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_key") == F.col("_skey")), "left")
+    forms = template_words(docs.sparkSession, templates, gram)
+    both = both.crossJoin(F.broadcast(forms.agg(F.map_from_entries(F.collect_list(F.struct(
+        "template", F.struct("masks", "needs", "bars")))).alias("forms"))))
+
+    def verified(span: Column) -> Column:
+        form = F.try_element_at("forms", span["template"])
+
+        def at(place: Column) -> Column:
+            low = F.greatest(place["start"], F.lit(0))
+            words = F.slice("text_words", low + 1, F.greatest(place["end"] - low, F.lit(0)))
+            run = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+            own = F.forall(form["needs"], lambda x: F.array_contains(words, x)) & ~F.exists(
+                form["bars"], lambda x: F.contains(run, F.concat(F.lit(" "), x, F.lit(" "))))
+            enough = F.coalesce(_aligned(words, form["masks"], span["m"]) >= span["m"] * cover, F.lit(False))
+            return own & (place["by_grams"] | enough)
+        return F.exists(span["places"], at)
+
+    both = both.withColumn("labels", F.array_join(F.array_sort(F.array_union("exact_labels", F.transform(
+        F.filter("edited", verified), lambda span: span["label"]))), ","))
     return both.select(
         F.col("_id").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
         F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
@@ -137,7 +202,10 @@ def _labels(label: Column) -> Column:
 
 def scan_sql(templates: tuple[Template, ...], words: str, gram: int = 3, slack: int = 3, cover: float = 0.75,
              stretch: float = 1.5) -> str:
-    """The result of :func:`scan` over ``documents`` in SQL; ``words`` is the SQL of a text's word list."""
+    """The result of :func:`scan` over ``documents`` in SQL; ``words`` is the SQL of a text's word list.
+
+    It verifies by grams alone: labels are the same where each template stands whole and apart, or not at all.
+    """
     values = ", ".join(f"({n}, '{t.label}', {t.base}, '{t.phrase}')" for n, t in enumerate(templates))
     return f"""
 with d as (select doc_id, coalesce({words}, []) as w from documents),

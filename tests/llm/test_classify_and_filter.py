@@ -163,6 +163,58 @@ def test_license_places_and_edited_notices(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_each_notice_with_one_edit_repeated_and_its_siblings(spark):
+    rows, want = [], {}
+
+    def add(text, labels):
+        rows.append((len(rows), text, "en", "s", 0))
+        want[len(want)] = (labels, text)
+
+    for t in licenses.BASE + licenses.NOTICES:
+        add(f"{t.phrase} {t.phrase}. {t.phrase}", {t.label})
+        w = t.words
+        for i in range(len(w) if len(w) >= 6 else 0):
+            told = {t.label} - ({t.label} if w[i] in t.needs and w.count(w[i]) == 1 else set())
+            for some in ("", " edited", f" {w[i]} extra"):
+                if i or some.strip() != "edited":
+                    text = f"it is {' '.join(w[:i])}{some} {' '.join(w[i + 1:])} and so on"
+                    add(text, {t.label} if "extra" in some else told)
+    add("licensed under gnu general public license", {"gpl"})
+    add("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", {"lgpl"})
+    add("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", {"agpl"})
+    add("this library is free software you can redistribute it and or modify it under the terms of the gnu general public license", {"gpl"})
+    for more in ("noncommercial", "noncommercial sharealike", "sharealike", "noderivatives", "non commercial", "no derivatives"):
+        add(f"licensed under a creative commons attribution {more} 4 0 international license", set())
+    add("subject to the terms of the mozilla public license v 1 1", set())
+    add("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license", set())
+    add("the terms of the contract are provided that the following day to any person with or without a copy of this", set())
+    wrong = [(r.labels, *want[r.doc_id]) for r in licenses.scan(frame(spark, rows)).collect()
+             if set(r.labels.split(",")) - {""} != want[r.doc_id][0]]
+    assert not wrong, wrong[:10]
+
+
+def test_aligned_words_are_the_longest_common_subsequence(spark):
+    rnd, cases = random.Random(7), []
+    for n in range(300):
+        form = [rnd.choice("abcdefgh") for _ in range(rnd.randint(6, 60))]
+        cases.append((n, [rnd.choice("abcdefghij") for _ in range(rnd.randint(0, 70))], form))
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(row[j + 1], new[j], row[j] + 1 if x == y else 0))
+            row = new
+        return row[-1]
+
+    forms = licenses.template_words(spark, tuple(licenses.Template("x", " ".join(form)) for *_, form in cases), 3)
+    df = spark.createDataFrame([(n, w, len(form)) for n, w, form in cases], "template int, w array<string>, m int").join(forms, "template")
+    got = {r.template: r.n for r in df.select("template", licenses._aligned(F.col("w"), F.col("masks"), F.col("m")).alias("n")).collect()}
+    assert got == {n: longest(w, form) for n, w, form in cases}
+
+
 def test_license_plan_has_no_python(spark):
     plan = licenses.gram_hits(frame(spark, odd_rows()), licenses.template_grams(spark, licenses.BASE, 3), 3, "doc_id", "text")
     assert not re.search("Python|Arrow|Pandas", plan._jdf.queryExecution().executedPlan().toString())
