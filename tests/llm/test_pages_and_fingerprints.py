@@ -162,3 +162,27 @@ def test_edit_report_of_odd_rows(spark):
     by_text = {}
     for (_, text, *_), r in zip(rows, prints):
         assert by_text.setdefault(text or "", r.fingerprint) == r.fingerprint
+
+
+def test_short_texts_are_compared_by_all_their_windows(spark):
+    words = "The quick brown fox jumps over a lazy dog while seven wizards mix boxes of liquid jade and hum old tunes by night ".split()
+    rnd = np.random.default_rng(3)
+    texts = [" ".join(rnd.choice(words, 80))[:n] for n in (30, 40, 50, 63, 64, 80, 100, 126, 127, 141, 142, 200, 300, 512, 513, 2000)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts + ["", "short"])]
+    got = {r.doc_id: r for r in rare_features.edit_report(frame(spark, rows, clashing=True)).collect()}
+    for i, text in enumerate(texts):
+        r, gone = got[i], len(text) // 4
+        following = rows[i + 1][1]
+        edited = text[:len(text) - gone] + following[:gone]
+        assert (r.short_fingerprint is None) == (r.short_edited is None) == (len(text) > 512)
+        if len(text) <= 512:
+            def grams(t):
+                return {t[p:p + 8] for p in range(len(t) - 7)}
+            a, b = grams(text), grams(edited)
+            assert abs(r.short_edited - len(a & b) / min(len(a), len(b))) < 0.2 and r.short_edited >= 0.5
+            assert r.short_next is None if len(following) > 512 else r.short_next <= 0.5
+    assert got[0].near_edited == 0 and got[0].short_edited >= 0.5  # by one feature alone the copy is lost
+    assert got[len(texts)].short_fingerprint == "" and got[len(texts) + 1].short_fingerprint
+    prints = {r.doc_id: r for r in rare_features.fingerprints(frame(spark, rows), np.arange(1001, dtype=np.int32)).collect()}
+    assert all(prints[i].short_fingerprint == r.short_fingerprint for i, r in got.items())
+    assert rare_features.short_likeness(rare_features.short_chain(b"same"), rare_features.short_chain(b"same")) == 1.0
