@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing against indexed blocks of all earlier documents.
+"""Substring dedup by window hashing over indexed blocks of all earlier documents, in place of relative Lempel-Ziv parsing.
 
 The words of each document are covered by *blocks*.  Of the eight-word grams in a window of ``window`` words, the one
 with the smallest hash is the window's anchor; the windows of one anchor are neighbours, and their words together are
@@ -6,11 +6,11 @@ its block (up to 91 words for windows of 50).  Equal windows have equal anchors,
 places where a window may occur again lie in blocks with the same anchor.  Every document's blocks form the reference,
 indexed by anchor, each with the smallest id it occurs under.
 
-Parsing a document compares its blocks with the reference.  An anchor that has one block everywhere needs one
-comparison: the whole block is a factor.  An anchor with several blocks (at an edit, or where a shared passage meets
-different neighbours) is resolved window by window over its distinct blocks.  Factors are then extended greedily:
-neighbouring windows found in earlier documents, also across block boundaries, make one factor, and the words of
-each become a duplicate span.
+A document's blocks are compared with the reference.  An anchor that has one block everywhere needs one comparison: the
+whole block is found.  An anchor with several blocks (at an edit, or where a shared passage meets different
+neighbours) is resolved window by window over its distinct blocks.  The windows found, also across block boundaries,
+are united, and the words of each union become a duplicate span.  No longest match is grown and no factor is stored: what
+is removed is the words of all windows that an earlier document has, which the union gives without parsing.
 
 Nothing is keyed by document: a passage in a third of all documents is one block after map-side aggregation.  Grams,
 blocks and windows are compared by independent 64-bit hashes, two of them for each decision.
