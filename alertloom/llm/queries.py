@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.llm import (
-    best_fit, licenses, line_blocks, mixture_packing, rare_features, relative_lz, simhash, toxicity, url_filter, wu_manber)
+    best_fit, conversation_repair, feistel_shards, licenses, line_blocks, mixture_packing, rare_features, relative_lz, simhash,
+    toxicity, url_filter, walsh_clusters, wu_manber)
 from alertloom.llm.rows import hex64
 
 
@@ -65,6 +66,23 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_walsh_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walsh_clusters.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, seed=1)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(_table(spark, sf_dir, "conversations")), absent_col="absent")
+
+
+SHARDS, SHUFFLE_SEED = 40, 1
+
+
+def op13_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = feistel_shards.assign(_table(spark, sf_dir, "documents"), SHARDS, SHUFFLE_SEED)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_best_fit": op2_best_fit,
@@ -76,6 +94,9 @@ QUERIES = {
     "op8_rare_features": op8_rare_features,
     "op9_mixture_packing": op9_mixture_packing,
     "op10_licenses": op10_licenses,
+    "op11_walsh_clusters": op11_walsh_clusters,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_feistel_shards": op13_feistel_shards,
 }
 
 # A-Z lower-cased, then runs of ASCII letters, digits and non-ASCII characters.
@@ -110,9 +131,18 @@ with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+')
 select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from d left join kept using (doc_id)"""
 
+# CRC-32 of the UTF-8 of a column ``text``, byte by byte with a table.
+_CRC_TABLE = """crc_table as (select list(c order by b) as steps from (select b, list_reduce(range(8),
+   lambda a, i: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, b::bigint) as c from range(256) r(b)))"""
+_CRC = """xor(list_reduce(list_transform(range(0, strlen(coalesce(text, ''))), lambda i: ('0x' || substr(hex(text), 2 * i + 1, 2))::bigint),
+   lambda a, x: xor(a >> 8, steps[1 + (xor(a, x) & 255)]), 4294967295::bigint), 4294967295)"""
+
 ORACLES: dict[str, str] = {
     "op3_relative_lz": OP3_SQL,
     "op5_url_filter": url_filter.judge_sql(URL_RULES),
     "op6_wu_manber": OP6_SQL,
     "op10_licenses": licenses.scan_sql(licenses.BASE + licenses.NOTICES, _WORDS),
+    "op11_walsh_clusters": walsh_clusters.cluster_sql(16, 3, 1),
+    "op12_conversation_repair": conversation_repair.repair_sql(_CRC_TABLE, _CRC),
+    "op13_feistel_shards": feistel_shards.assign_sql(SHARDS, SHUFFLE_SEED, _CRC_TABLE, _CRC),
 }
