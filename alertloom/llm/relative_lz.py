@@ -17,12 +17,11 @@ blocks and windows are compared by independent 64-bit hashes, two of them for ea
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from alertloom.llm.rows import arrow_map, as_bytes, fields, sliced, unwrapped, wrapped
 from alertloom.session import stage
@@ -31,15 +30,18 @@ GRAM = 8
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+KEPT_POWERS = 1 << 15
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and grown as longer texts come."""
-    if len(_powers.get(base, ())) < n:
-        steps = np.full(max(4096, 1 << n.bit_length()), base, np.uint64)
-        steps[0] = 1
-        _powers[base] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[base][:n]
+    """base**0 .. base**(n-1) modulo 2**64; as many as usual texts need are kept, more are made for a long text alone."""
+    if base in _powers and n <= KEPT_POWERS:
+        return _powers[base][:n]
+    steps = np.full(max(n, KEPT_POWERS), base, np.uint64)
+    steps[0] = 1
+    powers = np.cumprod(steps, dtype=np.uint64)
+    _powers.setdefault(base, powers[:KEPT_POWERS].copy())
+    return powers[:n]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -220,18 +222,31 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     length_col: str | None = "n_chars") -> DataFrame:
     """The rows with repeated words taken out of their text, and the length column, if there is one, set anew.
 
-    A text that loses nothing stays as it is, white space included.  A row that had words and has none left goes.
+    A text that loses nothing stays as it is, white space included.  A row that had words and has none left goes.  Null
+    and empty texts and rows without an id stay as they are, repeated rows lose the same words each; an empty table
+    gives an empty result.
     """
-    @F.pandas_udf("string")
-    def kept(text, spans):
-        cuts = [t if s is None else b" ".join(cut(t.encode(), s, window)[2]).decode() for t, s in zip(text, spans)]
-        return pd.Series(cuts, dtype=object)
-
-    rows = _spanned(docs, id_col, text_col, window).withColumn(
-        "_kept", F.when(F.col("spans").isNull(), F.col("_text")).otherwise(kept("_text", "spans")))
-    left = rows.where("spans is null or _kept <> ''")
+    rows = arrow_map(_spanned(docs, id_col, text_col, window).select("_row", "_text", "spans"), _kept_columns(window), StructType([
+        StructField("_row", docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")).schema["_row"].dataType),
+        StructField("_kept", StringType()), StructField("_cut", BooleanType())]))
     changed = {text_col: F.col("_kept")}
     if length_col in docs.columns:
-        changed[length_col] = F.when(F.col("spans").isNull(), F.col(f"_row.`{length_col}`")).otherwise(
-            F.length("_kept").cast(docs.schema[length_col].dataType))
-    return unwrapped(left, docs, **changed)
+        changed[length_col] = F.when(F.col("_cut"), F.length("_kept").cast(docs.schema[length_col].dataType)).otherwise(
+            F.col(f"_row.`{length_col}`"))
+    return unwrapped(rows, docs, **changed)
+
+
+def _kept_columns(window: int):
+    """Reads (_row, _text, spans); leaves out rows of which nothing is left."""
+    def run(batches):
+        for batch in sliced(batches, 256):
+            texts, cut_any, stay = as_bytes(batch.column(1)), [], []
+            for i, spans in enumerate(batch.column(2).to_pylist()):
+                if spans is not None:
+                    texts[i] = b" ".join(cut(texts[i], spans, window)[2])
+                cut_any.append(spans is not None)
+                stay.append(spans is None or texts[i] != b"")
+            stay = pa.array(stay, pa.bool_())
+            yield (batch.column(0).filter(stay), pa.array(texts, pa.binary()).cast(pa.string()).filter(stay),
+                   pa.array(cut_any, pa.bool_()).filter(stay))
+    return run

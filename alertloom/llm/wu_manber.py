@@ -6,14 +6,17 @@ move before any pattern may end there, so most of a text is never looked at.  Wh
 a bucket of patterns, which are compared directly.
 
 Items are searched in stated blocks of bounded size, each broadcast by itself, so the item table may grow: every
-document meets every block, whole texts, in one pass without a shuffle.
+document meets every block, whole texts, in one pass without a shuffle.  A task builds one block's tables at a time and
+searches a stretch of its documents for them before it builds the next; only the items' texts stay with the worker.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField
 
 from alertloom.llm.rows import arrow_map, as_bytes, fields, sliced
 
@@ -68,18 +71,32 @@ def matchers(items: list[tuple[str, bytes]], window: int) -> list[WuManber]:
     return [WuManber(p, n) for n, p in sorted(by_length.items())]
 
 
-_built: dict = {}
+_built: list = [None, None]  # the only block of the last search, and its tables
+
+
+def _tables(shared: list, window: int) -> Iterator[list[WuManber]]:
+    """The tables of one block after the other; those of an only block are built once per worker."""
+    if len(shared) == 1:
+        key = (shared[0].value, window)
+        if _built[0] is None or _built[0][0] is not key[0] or _built[0][1] != window:
+            _built[:] = [key, matchers(*key)]
+        yield _built[1]
+        return
+    for block in shared:
+        yield matchers(block.value, window)
 
 
-def _matchers_of(shared, window: int) -> list[WuManber]:
-    """Tables are built once per worker and block."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), window)
-    value = shared.value
-    if key not in _built or _built[key][0] is not value:
-        if len(_built) > 4:
-            _built.clear()
-        _built[key] = (value, matchers(value, window))
-    return _built[key][1]
+def _stretches(batches: Iterator[pa.RecordBatch], shared: list, rows: int = 512, stretch_bytes: int = 32 << 20):
+    """The batches in lists: a slice alone for one block, as much as ``stretch_bytes`` for many."""
+    held, size = [], 0
+    for batch in sliced(batches, rows):
+        held.append(batch)
+        size += batch.nbytes
+        if len(shared) == 1 or size >= stretch_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def hits(words: list[bytes], tables: list[WuManber]) -> tuple[np.ndarray, set[str]]:
@@ -94,7 +111,7 @@ def hits(words: list[bytes], tables: list[WuManber]) -> tuple[np.ndarray, set[st
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, most_words: int) -> list:
-    """Broadcasts of the items, each of items with about ``most_words`` words in all."""
+    """Broadcasts of the items, each of items with about ``most_words`` words in all; the driver holds one at a time."""
     spark = benchmark.sparkSession
     items = benchmark.select(benchmark[id_col].cast("string").alias("item"), benchmark[text_col].alias("text")).where(
         "item is not null and text is not null")
@@ -107,19 +124,22 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, m
     return out
 
 
-def _search_columns(shared, window: int, first: bool):
+def _search_columns(shared: list, window: int):
     def run(batches):
-        for batch in sliced(batches, 512):
-            tables = _matchers_of(shared, window)
-            found = [hits(words_of(t), tables) for t in as_bytes(batch.column(1))]
-            marks, items = [f[0] for f in found], [f[1] for f in found]
-            if not first:
-                before = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(n)).astype(bool)
-                          for m, n in zip(batch.column(2).to_pylist(), marks)]
-                marks = [m | b for m, b in zip(marks, before)]
-                items = [i | set(j) for i, j in zip(items, batch.column(3).to_pylist())]
-            yield (batch.column(0), batch.column(1), [np.packbits(m).tobytes() for m in marks], [sorted(i) for i in items],
-                   [len(m) for m in marks], [int(m.sum()) for m in marks])
+        for held in _stretches(batches, shared):
+            found = [[(np.packbits(np.zeros(0, bool)), set())] * b.num_rows for b in held]
+            counts = [[0] * b.num_rows for b in held]
+            for tables in _tables(shared, window):
+                for batch, results, sizes in zip(held, found, counts):
+                    for i, text in enumerate(as_bytes(batch.column(1))):
+                        words = words_of(text)
+                        marks, items = hits(words, tables)
+                        if items:
+                            before = np.unpackbits(results[i][0], count=len(words)).astype(bool) if results[i][1] else False
+                            results[i] = np.packbits(marks | before), results[i][1] | items
+                        sizes[i] = len(words)
+            for batch, results, sizes in zip(held, found, counts):
+                yield batch.column(0), [sorted(i) for _, i in results], sizes, [int(np.bitwise_count(m).sum()) for m, _ in results]
     return run
 
 
@@ -128,30 +148,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     """``(<id>, n_words, n_hit, items)`` for every row: its words, those inside an occurrence, and the items that occur.
 
     Null texts have no words; items without words or without an id match nothing.  An item listed twice counts once.
-    Repeated rows repeat, rows with a null id are kept.  Without items nothing is hit.
+    Repeated rows repeat, rows with a null id are kept.  Without items nothing is hit.  An empty table gives an empty
+    result.
     """
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    for n, shared in enumerate(item_blocks(benchmark, item_col, item_text, window, most_words)):
-        source = rows.select("_id", "_text", *(["_marks", "items"] if n else []))
-        rows = arrow_map(source, _search_columns(shared, window, n == 0), fields(
-            rows, StructField("_marks", BinaryType()), StructField("items", ArrayType(StringType())),
-            StructField("n_words", LongType()), StructField("n_hit", LongType()), keep=("_id", "_text")))
-    return rows.select(F.col("_id").alias(id_col), "n_words", "n_hit", "items")
+    found = arrow_map(rows, _search_columns(item_blocks(benchmark, item_col, item_text, window, most_words), window), fields(
+        rows, StructField("items", ArrayType(StringType())), StructField("n_words", LongType()),
+        StructField("n_hit", LongType())))
+    return found.select(F.col("_id").alias(id_col), "n_words", "n_hit", "items")
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text",
                    item_col: str = "item_id", item_text: str = "text", most_words: int = 400_000) -> DataFrame:
-    """The rows, with all their columns, in which no item occurs."""
-    def occurs(shared):
-        @F.pandas_udf("boolean")
-        def found(text: pd.Series) -> pd.Series:
-            tables = _matchers_of(shared, window)
-            return pd.Series([any(True for t in tables for _ in t.search(words))
-                              for words in (words_of(t.encode() if t is not None else None) for t in text)], dtype=bool)
-        return found(F.col(f"`{text_col}`"))
-
-    for shared in item_blocks(benchmark, item_col, item_text, window, most_words):
-        docs = docs.where(~occurs(shared))
-    return docs
+    """The rows, with all their columns, in which no item occurs.
 
+    Null and empty texts hold no item and stay, as do all rows if there are no items; repeated rows are judged alike.
+    An empty table gives an empty result.
+    """
+    shared, at = item_blocks(benchmark, item_col, item_text, window, most_words), docs.columns.index(text_col)
 
+    def run(batches):
+        for held in _stretches(batches, shared):
+            clean = [np.ones(b.num_rows, bool) for b in held]
+            for tables in _tables(shared, window):
+                for batch, good in zip(held, clean):
+                    for i, text in enumerate(as_bytes(batch.column(at))):
+                        if good[i]:
+                            words = words_of(text)
+                            good[i] = not any(True for t in tables for _ in t.search(words))
+            yield from (batch.filter(pa.array(good)) for batch, good in zip(held, clean))
+
+    return docs.mapInArrow(run, docs.schema)
