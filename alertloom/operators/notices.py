@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from alertloom.functions.columns import MICROS, cell_of, micros
 from alertloom.schemas import NOTIFICATION, SYSTEM_NOTICE, require_exactly
+from alertloom.session import stage
 
 WINDOW_S = 60
 BLOCK_S = 3600
+FAN = 32
+_NONE = -(2**62)  # the start before a key's first window
 
 
 def project_notifications(decided: DataFrame) -> DataFrame:
@@ -58,10 +61,12 @@ def system_notices(dead: DataFrame, degraded: DataFrame, aged: DataFrame) -> Dat
 # Coalescing.  Per key the first notice fires with count 1 and opens a window; the
 # first notice at least ``window_s`` after the window's start fires the number of
 # notices in the closed window and opens the next.  Where a window starts depends on
-# the one before, so a key is a chain.  It is cut into blocks of time: every block
-# works out, for each place the chain could enter it, where the chain leaves it.
-# Only those entry/exit pairs are walked in order; then the blocks, each knowing its
-# true entry, list their fires in parallel.
+# the one before, so a key is a chain.  It is cut into blocks of time: every block is
+# a step function from the chain's last window start before it to the last one in it.
+# Runs of ``FAN`` neighbouring blocks compose their functions into one, level by level
+# up to one function a key; on the way down every run hands each of its blocks the
+# start that reaches it.  Then the blocks list their fires in parallel.  No task ever
+# follows more than ``FAN`` blocks of a key, however many notices the key has.
 # ---------------------------------------------------------------------------
 
 
@@ -88,6 +93,26 @@ def _entry_exit(t: np.ndarray, window_us: int) -> tuple[np.ndarray, np.ndarray]:
     return t[entries[last_of_run]], t[at[last_of_run]]
 
 
+def _applied(start: np.ndarray, upto: np.ndarray, leave: np.ndarray, window_us: int) -> np.ndarray:
+    """The last window start behind a block, for starts before it; a block the windows reach over changes nothing."""
+    at = np.searchsorted(upto, start + window_us, side="left")
+    return np.where(at < len(upto), np.append(leave, _NONE)[at], start)
+
+
+def _composed(blocks: list[tuple[np.ndarray, np.ndarray]], first: int, window_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """One step function for neighbouring blocks.  The start before them is no later than their first notice."""
+    upto, leave = blocks[0]
+    for more_upto, more_leave in blocks[1:]:
+        leave = _applied(leave, more_upto, more_leave, window_us)
+        if upto[-1] < first + window_us:
+            beyond = more_upto > upto[-1]
+            upto, leave = np.append(upto, more_upto[beyond]), np.append(leave, more_leave[beyond])
+    last_of_run = np.append(leave[1:] != leave[:-1], True)
+    upto, leave = upto[last_of_run], leave[last_of_run]
+    needed = int(np.searchsorted(upto, first + window_us, side="left")) + 1
+    return upto[:needed], leave[:needed]
+
+
 def _windows(t: np.ndarray, entry: int, window_us: int) -> list[dict]:
     """The windows a block opens (start, notices in the block), after one for the notices before."""
     after = _successors(t, window_us)
@@ -101,13 +126,18 @@ def _windows(t: np.ndarray, entry: int, window_us: int) -> list[dict]:
             for n, (lo, hi) in enumerate(zip(bounds, bounds[1:]))]
 
 
-def _by_block(batches: Iterator[pd.DataFrame], *cols: str) -> Iterator[tuple]:
+_STEP = ["k", "block", "first", "upto", "exit"]
+_STEP_SCHEMA = "k string, block bigint, first bigint, upto bigint, exit bigint"
+
+
+def _by_block(batches: Iterator[pd.DataFrame], *cols: str, block: str = "block") -> Iterator[tuple]:
     """(k, block, arrays of ``cols``) per block from rows sorted by (k, block), across batches."""
+    by = block
     name, held = None, []
     for pdf in batches:
         if pdf.empty:
             continue
-        k, block = pdf["k"].to_numpy(), pdf["block"].to_numpy()
+        k, block = pdf["k"].to_numpy(), pdf[by].to_numpy()
         arrays = [pdf[c].to_numpy() for c in cols]
         starts = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (block[1:] != block[:-1])))
         for lo, hi in zip(starts, [*starts[1:], len(k)]):
@@ -143,25 +173,35 @@ def coalesce_notices(notices: DataFrame, key: list[str] | None = None, at: str =
         def rows():
             for k, block, t in _by_block(batches, "us"):
                 for upto, leave in zip(*_entry_exit(t, window_us)):
-                    yield k, block, int(upto), int(leave)
+                    yield k, block, int(t[0]), int(upto), int(leave)
 
-        return _batched(rows(), ["k", "block", "upto", "exit"])
+        return _batched(rows(), _STEP)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Follow each key's chain over its sorted blocks; state is one key and one anchor."""
+    def up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One function for each run of blocks: rows (k, run, block, first, upto, exit)."""
         def rows():
-            current, block, anchor, done = None, None, None, False
-            for pdf in batches:
-                for k, b, upto, leave in zip(pdf["k"], pdf["block"], pdf["upto"], pdf["exit"]):
-                    if k != current:
-                        current, block, anchor = k, None, None
-                    if b != block:
-                        block, done = b, False
-                    if not done and (anchor is None or upto >= anchor + window_us):
-                        yield k, b, -(2**62) if anchor is None else anchor + window_us
-                        anchor, done = leave, True
-
-        return _batched(rows(), ["k", "block", "entry"])
+            for k, run, block, first, upto, leave in _by_block(batches, "block", "first", "upto", "exit", block="run"):
+                cuts = np.flatnonzero(block[1:] != block[:-1]) + 1
+                parts = list(zip(np.split(upto, cuts), np.split(leave, cuts)))
+                for u, x in zip(*_composed(parts, int(first[0]), window_us)):
+                    yield k, run, int(first[0]), int(u), int(x)
+
+        return _batched(rows(), _STEP)
+
+    def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The start before each block of a run.  A run's first row, if it has no threshold, holds the start before it."""
+        def rows():
+            for k, run, block, upto, leave in _by_block(batches, "block", "upto", "exit", block="run"):
+                start = np.array([_NONE])
+                if block[0] < 0:
+                    start, block, upto, leave = leave[:1], block[1:], upto[1:], leave[1:]
+                cuts = np.flatnonzero(block[1:] != block[:-1]) + 1
+                for b, u, x in zip(np.split(block, cuts), np.split(upto, cuts), np.split(leave, cuts)):
+                    if len(b):
+                        yield k, int(b[0]), int(start[0]), bool(u[-1] >= start[0] + window_us)
+                        start = _applied(start, u, x, window_us)
+
+        return _batched(rows(), ["k", "block", "start", "enters"])
 
     def windows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Blocks start with their entry, if the chain enters them; else all belongs to the open window."""
@@ -183,19 +223,39 @@ def coalesce_notices(notices: DataFrame, key: list[str] | None = None, at: str =
         starts = open_windows.select(packed(open_windows), micros("opened_at").alias("_start"))
         rows = rows.join(starts, "k", "left").select("k", F.greatest("us", "_start").alias("us"))
     rows = rows.withColumn("block", cell_of(F.col("us"), block_us))
-    outcomes = (
-        rows.repartition("k", "block").sortWithinPartitions("k", "block", "us")
-        .mapInPandas(outcomes_of, "k string, block bigint, upto bigint, exit bigint")
-    )
+    steps = stage(
+        rows.repartition("k", "block").sortWithinPartitions("k", "block", "us").mapInPandas(outcomes_of, _STEP_SCHEMA),
+        "notice-steps")
+    lowest, highest = steps.agg(F.min("block"), F.max("block")).first()
+    lowest, span = lowest or 0, (highest or 0) - (lowest or 0)
     before_all_value = -(2**40)
     before_all = F.lit(before_all_value).alias("block")
+    opened = None
     if open_windows is not None:
         opened = open_windows.select(packed(open_windows), before_all, micros("opened_at").alias("upto"), "count")
-        outcomes = outcomes.unionByName(opened.select("k", "block", "upto", F.col("upto").alias("exit")))
-    entries = (
-        outcomes.repartition("k").sortWithinPartitions("k", "block", "upto")
-        .mapInPandas(walk, "k string, block bigint, entry bigint")
-    )
+    # Up: levels of runs, counted from the lowest block, until one run can hold all that are left.
+    run = F.floor(F.col("block") / FAN).alias("run")
+    levels = [steps.withColumn("block", F.col("block") - lowest)]
+    while span >= FAN:
+        span //= FAN
+        levels.append(stage(
+            levels[-1].select("*", run).repartition("k", "run").sortWithinPartitions("k", "run", "block", "upto")
+            .mapInPandas(up, _STEP_SCHEMA), "notice-steps"))
+    # Down: the start before a key's only run is that of its open window, if it has one.
+    starts = steps.select("k", F.lit(0).cast("long").alias("block")).distinct()
+    if opened is not None:
+        starts = starts.join(opened.select("k", F.col("upto").alias("start")), "k", "left").withColumn(
+            "start", F.coalesce("start", F.lit(_NONE)))
+    else:
+        starts = starts.withColumn("start", F.lit(_NONE))
+    for level in reversed(levels):
+        given = starts.select("k", F.col("block").alias("run"), F.lit(-1).cast("long").alias("block"),
+                              F.lit(_NONE).alias("upto"), F.col("start").alias("exit"))
+        below = given.unionByName(level.select("k", run, "block", "upto", "exit"))
+        starts = below.repartition("k", "run").sortWithinPartitions("k", "run", "block", "upto").mapInPandas(
+            down, "k string, block bigint, start bigint, enters boolean")
+    entries = starts.where("enters").select("k", (F.col("block") + lowest).alias("block"), (
+        F.when(F.col("start") == _NONE, F.col("start")).otherwise(F.col("start") + window_us)).alias("entry"))
     marked = rows.withColumn("is_entry", F.lit(False)).unionByName(
         entries.select("k", "block", F.col("entry").alias("us"), F.lit(True).alias("is_entry")))
     per_block = (
@@ -207,18 +267,21 @@ def coalesce_notices(notices: DataFrame, key: list[str] | None = None, at: str =
                        F.struct(F.col("upto").alias("at"), F.col("count").alias("size")))
         per_block = per_block.unionByName(opened.select("k", "block", held.alias("w")))
     # The notice that closes a window counts the tail of the block that opened it, the
-    # blocks the chain passed over since, and its own block's head.
+    # blocks the chain passed over since, and its own block's head.  A key's blocks meet
+    # by three numbers each; their windows stay where they are and are joined to them.
+    per_block = stage(per_block, "notice-blocks")
     by_block = Window.partitionBy("k").orderBy("block")
-    opens, head, tail = F.size("w") > 1, F.col("w")[0]["size"], F.element_at("w", -1)["size"]
-    grouped = per_block.withColumn("_group", F.count_if(opens).over(
-        by_block.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = grouped.withColumn("_open", F.sum(tail).over(Window.partitionBy("k", "_group"))).where(opens)
-    closing = F.coalesce(F.lag("_open").over(by_block) + head, F.lit(1).cast("long"))
+    slim = per_block.select("k", "block", (F.size("w") > 1).alias("opens"), F.col("w")[0]["size"].alias("head"),
+                            F.element_at("w", -1)["size"].alias("tail"))
+    slim = slim.withColumn("_group", F.count_if("opens").over(by_block.rowsBetween(Window.unboundedPreceding, 0)))
+    slim = slim.withColumn("_open", F.sum("tail").over(Window.partitionBy("k", "_group"))).where("opens")
+    slim = slim.select(
+        "k", "block", "_open", F.coalesce(F.lag("_open").over(by_block) + F.col("head"), F.lit(1).cast("long")).alias("closing"),
+        F.lead("block").over(by_block).isNull().alias("_last"))
     started = F.slice(F.col("w"), F.lit(2), F.size("w") - 1)
-    grouped = grouped.select(
+    grouped = per_block.join(slim, ["k", "block"]).select(
         "k", "block", started.alias("w"), "_open",
-        F.concat(F.array(closing), F.transform(started, lambda x: x["size"])).alias("n"),
-        F.lead("block").over(by_block).isNull().alias("_last"))
+        F.concat(F.array("closing"), F.transform(started, lambda x: x["size"])).alias("n"), "_last")
     schema = notices.select(*key).schema
 
     def unpacked(df: DataFrame, *cols) -> DataFrame:

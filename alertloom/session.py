@@ -78,6 +78,22 @@ def scratch(spark: SparkSession):
     finally:
         paths = _scratch.get()
         _scratch.reset(token)
-        for text in paths:
-            path = spark._jvm.org.apache.hadoop.fs.Path(text)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, *paths)
+
+
+def _files(spark: SparkSession, text: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(text)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders, in whatever store they lie; missing ones do not matter."""
+    for text in paths:
+        path, files = _files(spark, text)
+        files.delete(path, True)
+
+
+def written(spark: SparkSession, text: str) -> bool:
+    """Whether a table was written there to the end."""
+    path, files = _files(spark, f"{text}/_SUCCESS")
+    return files.exists(path)

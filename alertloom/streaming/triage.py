@@ -8,14 +8,21 @@ Tables under ``root``:
 
 * ``alerts``   slim history rows, by batch and day
 * ``slots``    slot summaries of the history, by batch and day
-* ``records``, ``dead_letters``, ``decided``, ``notices``
+* ``findings`` alert and event ids that have a record, by batch
+* ``records``, ``dead_letters``, ``decided``, ``notices``: the output
 * ``sessions`` sessions still open, rewritten per batch (as long as the gap, not the past)
 * ``windows``  coalescing windows still open
 * ``clock``    median event times of the last few batches
+
+Every ``FOLD`` batches the versions of the first three are folded into one (``.../upto=N``): slots of one key, rule and
+slot add up, an alert id keeps its lowest and highest event id, and days that no look-back reaches any more are left
+out.  The folded versions are then removed, as are all but the last two of the other state tables, so a batch
+opens at most ``FOLD`` versions of a table and one fold, however long the stream has run.
 """
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +36,8 @@ from alertloom.operators.notices import coalesce_notices
 from alertloom.operators.scoring import Scorer, rubric_scorer
 from alertloom.operators.sessions import GAP_S
 from alertloom.plans.triage import Triage, triage
-from alertloom.schemas import columns
-from alertloom.session import scratch
+from alertloom.schemas import UNIFIED_EVENT, columns
+from alertloom.session import remove, scratch, written
 from alertloom.streaming.ingest import POLL, _start, batch_dir
 
 HISTORY_COLUMNS = ["event_id", "timestamp", "sensor", "src_ip", "rule_id", "signature", "event_type"]
@@ -41,6 +48,12 @@ FIRED = columns(reason=_S, sensor=_S, fired_at=_TS, count=_L)
 CLOCK = columns(at_us=_L)
 CLOCK_BATCHES = 5
 SLOTS = columns(key=_S, rule=_S, slot=_L, n=_L, first_us=_L, last_us=_L)
+FOLD = 16
+FOLDED = {  # state tables that grow, with the columns they are stored with
+    "alerts": T.StructType([UNIFIED_EVENT[c] for c in HISTORY_COLUMNS] + [T.StructField("event_date", T.DateType())]),
+    "slots": T.StructType([*SLOTS, T.StructField("event_date", T.DateType())]),
+    "findings": columns(alert_id=_S, event_id=_S),
+}
 
 
 @dataclass
@@ -78,6 +91,40 @@ class TriageStream:
             return None
         return self.spark.read.schema(schema).parquet(batch_dir(f"{self.root}/{name}", batch_id - 1))
 
+    def _state(self, name: str, before: int) -> DataFrame:
+        """A growing state table as of a batch: the last fold and the versions since."""
+        fold = before // FOLD * FOLD
+        paths = [batch_dir(f"{self.root}/{name}", n) for n in range(fold, before)]
+        if fold:
+            paths.append(f"{self.root}/{name}-folded/upto={fold}")
+        return reduce(DataFrame.unionByName, (self.spark.read.schema(FOLDED[name]).parquet(p) for p in paths))
+
+    def _fold(self, batch_id: int, lo: datetime | None) -> None:
+        """Makes one version of all before a batch.  A fold that died is made again: its sources go last."""
+        for name in FOLDED:
+            target = f"{self.root}/{name}-folded/upto={batch_id}"
+            if not written(self.spark, target):
+                rows = self._unfolded(name, batch_id)
+                if "event_date" in rows.columns and lo is not None:
+                    rows = rows.where(F.col("event_date") >= F.to_date(F.lit(lo) - F.expr(f"interval {2 * SEEN_S} seconds")))
+                if name == "slots":
+                    rows = rows.groupBy("key", "rule", "slot", "event_date").agg(
+                        F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+                elif name == "findings":
+                    ends = F.array_distinct(F.array(F.min("event_id"), F.max("event_id")))
+                    rows = rows.groupBy("alert_id").agg(ends.alias("e")).select("alert_id", F.explode("e").alias("event_id"))
+                writer = rows.write.mode("overwrite")
+                (writer.partitionBy("event_date") if "event_date" in rows.columns else writer).parquet(target)
+            remove(self.spark, f"{self.root}/{name}-folded/upto={batch_id - FOLD}",
+                   *(batch_dir(f"{self.root}/{name}", n) for n in range(batch_id - FOLD, batch_id)))
+
+    def _unfolded(self, name: str, batch_id: int) -> DataFrame:
+        start = batch_id - FOLD
+        paths = [batch_dir(f"{self.root}/{name}", n) for n in range(start, batch_id)]
+        if start:
+            paths.append(f"{self.root}/{name}-folded/upto={start}")
+        return reduce(DataFrame.unionByName, (self.spark.read.schema(FOLDED[name]).parquet(p) for p in paths))
+
     def _write(self, df: DataFrame, name: str, batch_id: int, by_day: bool = False) -> None:
         writer = df.write.mode("overwrite")
         if by_day:
@@ -89,6 +136,8 @@ class TriageStream:
         batch = batch.persist()
         try:
             span = batch.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).first()
+            if batch_id and batch_id % FOLD == 0:
+                self._fold(batch_id, span["lo"])
             past = self._past_alerts(batch_id, span["lo"], span["hi"])
             events = dedupe_events(batch)
             if past is not None:  # an event redelivered in a later batch is already stored
@@ -107,7 +156,7 @@ class TriageStream:
     def _past_alerts(self, batch_id: int, lo: datetime | None, hi: datetime | None) -> DataFrame | None:
         if batch_id == 0 or lo is None:
             return None
-        return self.table("alerts", batch_id).where(self._in_reach(lo, hi))
+        return self._state("alerts", batch_id).where(self._in_reach(lo, hi))
 
     @staticmethod
     def _in_reach(lo: datetime, hi: datetime) -> Column:
@@ -128,9 +177,9 @@ class TriageStream:
             edges = edge_slots(micros(F.lit(lo)), micros(F.lit(hi)), micros("timestamp"))
             history = history.unionByName(past.where(edges).select(*HISTORY_COLUMNS))
             past_slots = mine.unionByName(
-                self.table("slots", batch_id).where(self._in_reach(lo, hi)).select(*SLOTS.names))
+                self._state("slots", batch_id).where(self._in_reach(lo, hi)).select(*SLOTS.names))
             ids = events.where("event_type = 'finding'").select(F.col("source_alert_id").alias("alert_id")).distinct()
-            done = self.table("records", batch_id).select("alert_id", "event_id").join(ids, "alert_id", "left_semi")
+            done = self._state("findings", batch_id).join(ids, "alert_id", "left_semi")
 
         open_before = self._version("sessions", SESSIONS, batch_id)
         run = triage(
@@ -138,6 +187,7 @@ class TriageStream:
             scorer=self.scorer, triaged=done, allowlist=self.allowlist, threshold=self.threshold,
             max_age_s=self.max_age_s, gap_s=self.gap_s, open_sessions=open_before, past_slots=past_slots)
         self._write(run.records, "records", batch_id)
+        self._write(run.decided.select(F.col("source_alert_id").alias("alert_id"), "event_id"), "findings", batch_id)
         self._write(run.dead_letters, "dead_letters", batch_id)
         self._write(run.decided, "decided", batch_id)
         horizon = self._horizon(run, batch_id)
@@ -147,6 +197,7 @@ class TriageStream:
             open_windows=self._version("windows", WINDOWS, batch_id))
         self._write(fired.select(*FIRED.names), "notices", batch_id)
         self._write(still_open.select(*WINDOWS.names), "windows", batch_id)
+        remove(self.spark, *(batch_dir(f"{self.root}/{name}", batch_id - 2) for name in ("sessions", "windows", "clock")))
 
     def _horizon(self, run: Triage, batch_id: int) -> int | None:
         """The time the stream has reached: the lower median of the last batches' median event times.
