@@ -1,5 +1,6 @@
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -86,25 +87,57 @@ def check_pieces(rows, pieces, length):
         assert at == length or n == max(by_sequence)
 
 
-def test_mixture_round_trip_and_proportions(spark):
-    rnd = random.Random(2)
-    rows = [(i, " ".join(rnd.choice(["red", "green", "blue"]) for _ in range(rnd.randint(0, 300))), "en",
-             rnd.choice(["big"] * 6 + ["mid"] * 3 + ["low"]), 0) for i in range(400)]
+def mixed_rows(n=400, sources=("big",) * 6 + ("mid",) * 3 + ("low",), words=300, seed=2):
+    rnd = random.Random(seed)
+    return [(i, " ".join(rnd.choice(["red", "green", "blue"]) for _ in range(rnd.randint(0, words))), "en", rnd.choice(sources), 0)
+            for i in range(n)]
+
+
+def round_robin(totals, weights, length):
+    """Ids that every queue has served after every window, by crediting the active queues in small steps of time."""
+    credit, served = {q: Fraction(0) for q in totals}, []
+    while any(credit[q] < totals[q] for q in totals):
+        left = Fraction(length)
+        while left and (active := [q for q in totals if credit[q] < totals[q]]):
+            rate = sum(weights[q] for q in active)
+            step = min(left / rate, *((totals[q] - credit[q]) / weights[q] for q in active))
+            for q in active:
+                credit[q] += weights[q] * step
+            left -= rate * step
+        served.append({q: min(totals[q], int(credit[q] + Fraction(1, 2))) for q in totals})
+    return served
+
+
+def test_mixture_equals_a_sequential_round_robin(spark):
+    rows = mixed_rows()
     docs = frame(spark, rows)
-    pieces = mixture_packing.pack(docs, length=512, grain=16).collect()
-    check_pieces(rows, pieces, 512)
     source = {r[0]: r[3] for r in rows}
-    total = {s: sum(p.length for p in pieces if source[p.doc_id] == s) for s in ("big", "mid", "low")}
-    last = max(p.sequence_id for p in pieces)
-    for n in range(last):
-        for s, share in total.items():
-            here = sum(p.length for p in pieces if p.sequence_id == n and source[p.doc_id] == s)
-            assert abs(here / 512 - share / sum(total.values())) < 0.1
-    even = mixture_packing.pack(docs, length=512, grain=16, weights={"big": 1, "mid": 1, "low": 1}).collect()
-    check_pieces(rows, even, 512)
-    for n in range(1, total["low"] * 3 // 512 - 1):  # until the smallest source runs dry
-        for s in total:
-            assert abs(sum(p.length for p in even if p.sequence_id == n and source[p.doc_id] == s) / 512 - 1 / 3) < 0.1
+    for weights in (None, {"big": 1, "mid": 1, "low": 1}, {"big": 3, "mid": 1, "low": 4}):
+        pieces = mixture_packing.pack(docs, length=512, weights=weights).collect()
+        check_pieces(rows, pieces, 512)
+        totals = {s: sum(p.length for p in pieces if source[p.doc_id] == s) for s in ("big", "low", "mid")}
+        served = round_robin(totals, {s: Fraction(w) for s, w in (weights or totals).items()}, 512)
+        line = [s for now, past in zip(served, [dict.fromkeys(totals, 0), *served]) for s in totals for _ in range(now[s] - past[s])]
+        got = {(p.sequence_id * 512 + p.offset + i): source[p.doc_id] for p in pieces for i in range(p.length)}
+        assert [got[i] for i in range(len(line))] == line
+
+
+def test_every_window_meets_its_target_until_a_queue_runs_dry(spark):
+    names = [f"s{i:02}" for i in range(20)]
+    rows = mixed_rows(1500, [n for i, n in enumerate(names) for _ in range(i + 1)], 200, 7)
+    docs, source = frame(spark, rows), {r[0]: r[3] for r in rows}
+    for options in ({}, {"temper": 0.5}, {"weights": {n: 1 + i % 5 for i, n in enumerate(names)}}, {"temper": 0.7, "queues": 6}):
+        pieces = mixture_packing.pack(docs, length=2048, **options).collect()
+        check_pieces(rows, pieces, 2048)
+        if "queues" in options:
+            continue
+        ids = {s: sum(p.length for p in pieces if source[p.doc_id] == s) for s in names}
+        weight = options.get("weights") or {s: n ** options.get("temper", 1) for s, n in ids.items()}
+        dry = int(min(ids[s] / weight[s] for s in names) * sum(weight.values()) // 2048)
+        assert dry >= 5
+        for n in range(dry):
+            here = {s: sum(p.length for p in pieces if p.sequence_id == n and source[p.doc_id] == s) / 2048 for s in names}
+            assert sum(abs(here[s] - weight[s] / sum(weight.values())) for s in names) / 2 < 0.02
 
 
 def test_mixture_of_odd_rows(spark):
