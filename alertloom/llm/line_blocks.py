@@ -6,9 +6,10 @@ show.  Text lengths without links are summed over a sliding window of lines; the
 nothing and passes the level, and dives where the sum is back at nothing.  What lies between a surge and its dive is
 kept, all of its lines.
 
-A marked article (``article``, ``main``) is evidence, not a verdict.  Stretches end at its borders, and each of its
-lines has the level added to its length, so that all of them surge.  A stretch outside is kept beside it where it passes
-the level and is denser (by its largest sum) or longer than every marked article of the page.
+A marked article (``article``, ``main``) is evidence, not a verdict.  Stretches end at its borders, and inside a level
+of one character has to be passed: lines of links alone at the ends of a stretch have no length and are left out.  A
+stretch outside is kept beside it where it passes the full level and is denser (by its largest sum) or longer than every
+marked article of the page.
 """
 
 import html
@@ -45,7 +46,9 @@ NAMES = frozenset((
     "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay",
     "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "share", "sharing", "sidebar", "signup",
     "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget"))
-MAIN_NAMES = frozenset(("article", "content", "entry", "main", "post", "story", "text"))
+MAIN_NAMES = frozenset(("article", "content", "entry", "main", "post", "story", "text"))  # as a whole class or id
+HEADER_NAMES = frozenset(("header", "masthead"))
+COMMENT_NAMES = frozenset(("comment", "comments", "disqus", "replies", "respond"))
 ARTICLE = frozenset(("article", "main"))
 
 
@@ -53,16 +56,22 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(text)} if text.strip(" /") else {}
 
 
-def _beside(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether an element's content is something beside the article."""
+def _beside(tag: str, attributes: dict[str, str]) -> str:
+    """"aside" for an element whose content is beside the article, "header" if headings in it may be the article's, or "".
+
+    Any word of a class or id tells, as in ``post-comments``; a class or id that as a whole names the article lifts that.
+    """
     if tag in ASIDE or tag in RAW:
-        return True
-    if not attributes:
-        return False
+        return "header" if tag == "header" else "aside"
+    if not attributes or tag in ("html", "body"):
+        return ""
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in ROLES:
-        return True
-    names = set(_NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}"))
-    return bool(names & NAMES) and not names & MAIN_NAMES and tag not in ("html", "body", "article", "main")
+        return "aside"
+    tokens = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    names = {w for t in tokens for w in _NAME.findall(t)} & NAMES
+    if not names or any(t in MAIN_NAMES for t in tokens) or tag in ARTICLE and not names & COMMENT_NAMES:
+        return ""
+    return "header" if names <= HEADER_NAMES else "aside"
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
@@ -73,7 +82,8 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     own = link = article = number = 0
-    skipped, depth, headings = "", 0, 0  # the element being passed over, how deep in its own name
+    skipped, kind, depth, headings = "", "", 0, 0  # the element being passed over, how deep in its own name
+    opened = nested = 0  # containers and articles open inside it
 
     def close():
         nonlocal own
@@ -107,25 +117,33 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             position = end.end() if end else len(page)
             continue
         if skipped:
-            if skipped == "header" and article and re.fullmatch("h[1-6]", tag):
+            if kind == "header" and article and re.fullmatch("h[1-6]", tag):
                 close()
                 headings = 0 if closing else 1
-            elif tag == skipped and not closing:
-                if tag in SELF_CLOSING:
-                    depth = 0
+            ends = again = False  # whether it ends here, and whether this tag is then still to be looked at
+            if tag in ARTICLE and tag != skipped:
+                if closing and not nested:
+                    ends = again = bool(article)  # an element left open ends with the article around it
+                else:
+                    nested += -1 if closing else 1
+            if not ends and skipped not in SELF_CLOSING:
+                if tag == skipped:
+                    depth += -1 if closing else 1
+                    ends = depth <= 0
+            elif not ends and tag == skipped and not opened:
+                ends, again = True, not closing
+            elif not ends and skipped == "p":
+                ends = again = tag in BLOCKS
+            elif not ends and tag in BLOCKS and tag not in SELF_CLOSING and tag not in VOID:
+                if closing and not opened:
+                    ends = again = True  # so does one without an end tag with what it stands in
                 else:
-                    depth += 1
-            elif tag == skipped:
-                depth -= 1
-            elif skipped in SELF_CLOSING and tag in BLOCKS:
-                depth = 0
-            elif closing and tag in ARTICLE and article:  # an element left open ends with the article
-                depth = 0
-            if depth > 0:
+                    opened += -1 if closing else 1
+            if not ends:
                 continue
             skipped, headings = "", 0
             close()
-            if tag not in ARTICLE and (closing or not _beside(tag, _attributes(match[3]))):
+            if not again:
                 continue
         if tag in BLOCKS:
             close()
@@ -139,11 +157,10 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             continue
         if tag in VOID or match[3].endswith("/") and tag not in BLOCKS:
             continue
-        attributes = _attributes(match[3])
-        if _beside(tag, attributes):
+        if kind := _beside(tag, _attributes(match[3])):
             close()
             out.append(("", 0, number if article else 0))
-            skipped, depth = tag, 1
+            skipped, depth, opened, nested = tag, 1, 0, 0
         elif tag in ARTICLE:
             number += not article
             article += 1
@@ -170,19 +187,22 @@ def _stretches(sizes: list[int], width: int) -> list[tuple[range, int]]:
     return out
 
 
-def main_text(page: str | None, width: int = 3, level: int = 86) -> str:
+def main_text(page: str | None, width: int = 3, level: int = 86, marked_level: int = 1) -> str:
     """The article's blocks, one per line."""
     lines = lines_of(page) if page else []
+    inside: dict[int, list[int]] = {}
+    for i, (_, _, mark) in enumerate(lines):
+        if mark:
+            inside.setdefault(mark, []).append(i)
     kept: set[int] = set()
-    dense = long = 0  # of the marked articles, without what being marked adds
-    for number in sorted({mark for text, _, mark in lines if mark and text}):
-        inside = [i for i, (_, _, mark) in enumerate(lines) if mark == number]
-        plain = [lines[i][1] for i in inside]
-        dense = max(dense, max(sum(plain[i:i + width]) for i in range(len(plain))))
-        long = max(long, sum(plain))
-        sizes = [own + max(1, level) if lines[i][0] else 0 for i, own in zip(inside, plain)]
-        kept.update(inside[j] for part, most in _stretches(sizes, width) if most >= level for j in part)
-    marked = bool(kept)
+    dense = long = 0  # of the marked articles
+    for places in inside.values():
+        sizes = [lines[i][1] for i in places]
+        found = _stretches(sizes, width)
+        kept.update(places[j] for part, most in found if most >= marked_level for j in part)
+        dense = max(dense, max((most for _, most in found), default=0))
+        long = max(long, sum(sizes))
+    marked = any(lines[i][0] for i in kept)
     sizes = [0 if mark else own for _, own, mark in lines]
     found = [(part, most, sum(sizes[j] for j in part)) for part, most in _stretches(sizes, width)]
     passed = [part for part, most, total in found
@@ -206,7 +226,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``(<id>, <url>, text, n_chars)`` for every row, the whole page read, nothing cut.
 
     Null and empty pages, and pages without any text, have an empty text.  A page without a stretch that passes the
-    level and without marked text keeps its longest one.  Repeated rows repeat; rows with a null id or URL are kept.
+    level and without marked text keeps its longest one.  Repeated rows repeat; rows with a null id or URL are kept.  An
+    empty table gives an empty result.
     """
     rows = pages.select(pages[id_col].alias("_id"), pages[url_col].alias("_url"), pages[html_col].alias("_html"))
     out = arrow_map(rows, _text_columns(width, level), fields(

@@ -28,6 +28,72 @@ def test_pages(page, text):
     assert line_blocks.main_text(page) == text
 
 
+BODY = "<article><h1>Title</h1><p>First words of it.</p><p>{}</p><p>And the end.</p>{}</article>"
+TEXT = "Title\nFirst words of it.\n" + ("long " * 40).strip() + "\nAnd the end."
+
+
+@pytest.mark.parametrize("extra", [
+    '<section class="post-comments"><h3>2 comments</h3><p>I do not agree at all with this, not at all.</p></section>',
+    '<div class="entry-comments"><div><p>Nice one, thank you so much for writing it.</p></div><p>Me too.</p></div>',
+    '<div class="content-footer"><p>Filed under many things, posted by someone</p></div>', '<div id="main-nav"><p>Home and more</p></div>',
+    '<ol class="comment-list"><li><article class="comment"><p>First comment here</p></article></li>'
+    '<li><article><p>Second comment here</p></article></li></ol>',
+    '<ul><li class="comment"><div><p>One</p><ul><li class="comment">two<li>three</ul></div><li class="comment even">four</ul>',
+    '<article class="comment depth-1"><p>A comment marked as an article of its own</p></article>',
+    '<div class="post-share"><p>Share this with all your friends right now</p></div>', '<p><a href="/next">Next article about something else</a></p>',
+    '<table><tr class="ad"><td><p>buy</p></td><td><table><tr><td>this</table></td></tr></table>',
+])
+def test_comments_footers_and_menus_are_left_out(extra):
+    page = "<body>" + BODY.format("long " * 40, extra) + "</body>"
+    assert line_blocks.main_text(page) == TEXT
+    assert line_blocks.main_text(page.replace(extra + "</article>", "</article>" + extra)) == TEXT
+    main = BODY.replace("article>", "main>").format("long " * 40, extra)
+    assert line_blocks.main_text(f"<body>{main}</body>") == TEXT
+
+
+def test_names_that_belong_to_the_article():
+    assert line_blocks.main_text('<article class="post type-post comments-open"><p>text of the post</p></article>') == "text of the post"
+    assert line_blocks.main_text('<div class="entry content has-sidebar"><p>some text</p></div>') == "some text"
+    assert line_blocks.main_text(
+        '<article><div class="entry-header"><h1>Head</h1><p>by me</p></div><p>The text of it.</p></article>') == "Head\nThe text of it."
+
+
+def plain_stretches(sizes, width):
+    """Lines between surge and dive by the definition: a line is inside if some window sum over it is not nothing."""
+    sums = [sum(sizes[i:i + width]) for i in range(len(sizes))]
+    out, run = [], []
+    for i in range(len(sums) + 1):
+        if i < len(sums) and sums[i]:
+            run.append(i)
+        elif run:
+            lines = [j for j in range(run[0], min(run[-1] + width, len(sizes))) if sizes[j]]
+            out.append((range(lines[0], lines[-1] + 1), max(sums[j] for j in run)))
+            run = []
+    return out
+
+
+def test_stretches_against_the_definition():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        sizes = [int(x) for x in rng.integers(0, 90, rng.integers(0, 25)) * (rng.random(1) < rng.random(1))]
+        sizes = [x if rng.random() < 0.5 else 0 for x in sizes]
+        for width in (1, 2, 3, 5):
+            assert line_blocks._stretches(sizes, width) == plain_stretches(sizes, width)
+
+
+def test_many_articles_take_linear_time():
+    import time
+
+    def took(n):
+        start = time.process_time()
+        text = line_blocks.main_text("<body>" + "<article><h2>Card</h2><p>teaser number of a page</p></article>" * n)
+        assert text.count("\n") == 2 * n - 1
+        return time.process_time() - start
+
+    took(500)
+    assert took(8000) < 40 * max(took(500), 0.01)
+
+
 @pytest.mark.parametrize("card", ["<article><h2><a>Next</a></h2><p>a teaser of another page</p></article>",
                                   "<main><p>" + "card " * 30 + "</main>", "<article><p>" + "one long line " * 12 + "</article>" * 2])
 def test_an_article_that_is_a_teaser_does_not_hide_the_body(card):
@@ -49,6 +115,11 @@ def test_given_pages_without_their_marks(spark):
     plain = [re.sub("(</?)article>", r"\1div>", p) for p in pages]
     texts = [line_blocks.main_text(p) for p in pages]
     assert all(t for t in texts) and texts == [line_blocks.main_text(p) for p in plain]
+    comments = ('<ol class="comment-list"><li><article><p>A long comment, of many words and more.</p></article></li>'
+                '<li class="comment"><article><p>Another comment, which is as long as the first one.</p></article></li></ol>')
+    for pages_now, end in ((pages, "</article>"), (plain, "</body>")):
+        at = [p.rfind(end) for p in pages_now]
+        assert texts == [line_blocks.main_text(p[:i] + comments + p[i:]) for p, i in zip(pages_now, at)]
     # a teaser marked in front of an unmarked body hides nothing of it where the body passes the level
     card = "<article><p>Teaser</p></article>"
     for text, page in zip(texts, plain):
