@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
@@ -29,7 +30,12 @@ from alertloom.session import stage
 
 _LONG = LongType()
 REST = "*"  # the queue of all sources without one of their own
-BUCKET_ROWS = 200_000
+LEAST_ROWS = 2_000
+
+
+def _bucket_rows(rows: int) -> int:
+    """Rows of a bucket, so that the rows of one and the number of all grow alike, with the root of a table's size."""
+    return max(LEAST_ROWS, math.isqrt(rows))
 
 
 @dataclass(frozen=True)
@@ -118,12 +124,12 @@ def _cut_columns(schedule: Schedule):
 
 
 def placements(lengths: DataFrame, length: int, grain: int = 1, weights: dict | None = None, temper: float = 1.0,
-               queues: int = 1024, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+               queues: int = 1024) -> DataFrame:
     """``(_row, start, n, at)`` per piece: ids ``start`` to ``start + n`` of a row lie at ``at`` on the line.
 
-    ``lengths`` has ``(_row, _source, n)`` with distinct ``_row``.  Queues are cut into buckets, and the line into parts,
-    of about ``bucket_rows`` rows, so that a source with a third of all rows is many partitions; the only tables summed
-    in a single task have a row per bucket or part.
+    ``lengths`` has ``(_row, _source, n)`` with distinct ``_row``.  Queues are cut into buckets and the line into parts, so
+    that a source with a third of all rows is many partitions; the only tables summed in a single task have a row per
+    bucket or part, as many as the root of the number of rows.
     """
     sizes = lengths.groupBy("_source").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
     totals = stage(sizes, "queue-totals")
@@ -137,7 +143,7 @@ def placements(lengths: DataFrame, length: int, grain: int = 1, weights: dict |
     rest = next((q for q, (s, *_) in enumerate(found) if s == REST), None)
     queued = lengths.join(F.broadcast(numbers), F.col("_source") == F.col("_name"), "left").select(  # ``queues`` rows at most
         "_row", F.coalesce("queue", F.lit(rest).cast("long")).alias("queue"), "n", F.xxhash64("_row").alias("_order"))
-    buckets = max(1, math.ceil(rows / bucket_rows))
+    buckets = math.ceil(rows / _bucket_rows(rows))
     seeded = queued.withColumn("_bucket", F.pmod(F.shiftright("_order", 20), F.lit(buckets)))
     sums = seeded.groupBy("queue", "_bucket").agg(F.sum("n").alias("_n"))
     before = sums.select("queue", "_bucket", (
@@ -148,7 +154,8 @@ def placements(lengths: DataFrame, length: int, grain: int = 1, weights: dict |
     pieces = arrow_map(placed, _cut_columns(schedule), StructType([
         StructField(c, _LONG) for c in ("_row", "start", "n", "window", "queue", "place")]))
     windows = math.ceil(sum(n for _, n, _ in found) / length)
-    wide = max(1, math.ceil(windows * bucket_rows / (rows + windows * min(len(found), length))))  # windows in a part
+    most = rows + windows * min(len(found), length)  # pieces
+    wide = math.ceil(windows * _bucket_rows(most) / most)  # windows in a part
     segments = stage(pieces.withColumn("_part", F.floor(F.col("window") / wide)), "segments")
     per_part = segments.groupBy("_part").agg(F.sum("n").alias("ids"))
     base = per_part.select("_part", (F.sum("ids").over(Window.orderBy("_part")) - F.col("ids")).alias("_base"))
@@ -160,25 +167,26 @@ def placements(lengths: DataFrame, length: int, grain: int = 1, weights: dict |
 def _piece_columns(length: int, width: int, with_ids: bool):
     """Reads (_id, ids, n, spots); joins neighbouring segments, cuts at sequence ends, and slices the ids."""
     def run(batches):
-        for batch in sliced(batches, 256):
-            owner, rows = [], []
-            for i, (ids, total, spots) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
-                spots = sorted((s["start"], s["n"], s["at"]) for s in spots)
-                runs: list[list[int]] = []
-                for start, n, at in spots:
-                    if runs and runs[-1][2] + runs[-1][1] == at and runs[-1][0] + runs[-1][1] == start:
-                        runs[-1][1] += n
-                    else:
-                        runs.append([start, n, at])
-                for start, n, at in runs:
-                    while n:
-                        take = min(n, length - at % length)
-                        piece = np.frombuffer(ids, f"<u{width}", take, start * width).astype("<u4").tobytes()
-                        rows.append((start, take, zlib.crc32(piece), total, at // length, at % length, piece))
-                        owner.append(i)
-                        start, at, n = start + take, at + take, n - take
-            columns = list(zip(*rows)) if rows else [()] * 7
-            yield (batch.column(0).take(pa.array(owner, pa.int64())), *map(list, columns[:6 + with_ids]))
+        for batch in sliced(batches, 512):
+            counts = pc.list_value_length(batch.column(3)).to_numpy()
+            start, n, at = (c.to_numpy() for c in pc.list_flatten(batch.column(3)).flatten())
+            owner = np.repeat(np.arange(len(counts)), counts)
+            order = np.lexsort((start, owner))
+            owner, start, n, at = owner[order], start[order], n[order], at[order]
+            apart = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + n[:-1]) | (at[1:] != at[:-1] + n[:-1])
+            first = np.flatnonzero(np.concatenate([[True], apart]))
+            n, owner, start, at = np.add.reduceat(n, first), owner[first], start[first], at[first]
+            cuts = (at + n - 1) // length - at // length + 1
+            of = np.repeat(np.arange(len(n)), cuts)
+            sequence = at[of] // length + np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            low, high = np.maximum(at[of], sequence * length), np.minimum((at + n)[of], (sequence + 1) * length)
+            doc, from_, size = owner[of], start[of] + low - at[of], high - low
+            wide = [np.frombuffer(i, f"<u{width}").astype("<u4").tobytes() for i in batch.column(1).to_pylist()]
+            pieces = [wide[d][4 * s:4 * e] for d, s, e in zip(doc.tolist(), from_.tolist(), (from_ + size).tolist())]
+            doc = pa.array(doc)
+            out = [batch.column(0).take(doc), pa.array(from_), pa.array(size), list(map(zlib.crc32, pieces)),
+                   batch.column(2).take(doc), pa.array(sequence), pa.array(low - sequence * length)]
+            yield *out, *([pieces] if with_ids else [])
     return run
 
 
