@@ -6,7 +6,7 @@ from alertloom.functions.columns import class_rank, severity_of
 from alertloom.operators.decide import decide
 from alertloom.operators.history import enrich
 from alertloom.operators.metrics import pipeline_counters
-from alertloom.operators.notices import age_notices, coalesce_notices, degradation_notices
+from alertloom.operators.notices import age_notices, coalesce_notices, dead_letter_notices, degradation_notices
 from alertloom.operators.scoring import (
     dead_letters, resolve_attempts, retrying, rubric_label, rubric_scorer, validate_output)
 from alertloom.operators.sessions import incident_rollup, sessionize
@@ -156,8 +156,13 @@ def open_windows(spark, d):
 
 def health_outbox(spark, d):
     a = alerts(spark, d)
-    rows = degradation_notices(a.where("severity_hint = 'low'")).unionByName(
-        age_notices(a.where("severity_hint <> 'low'")))
+    dead = a.where("event_no % 19 = 0").select(
+        F.col("source_alert_id").alias("alert_id"), "event_id", "source_module", "sensor", F.col("severity_hint").alias("severity"),
+        F.lit("parse_failure").alias("reason"), (F.col("event_no") % 2 + 1).cast("int").alias("retry_count"),
+        F.col("timestamp").alias("dead_lettered_at"),
+        F.when(F.col("event_no") % 3 == 0, "").otherwise(F.concat(F.lit("ValidationError of "), "event_id")).alias("detail"))
+    rows = degradation_notices(a.where("severity_hint = 'low' and event_no % 19 <> 0")).unionByName(
+        age_notices(a.where("severity_hint <> 'low' and event_no % 19 <> 0"))).unionByName(dead_letter_notices(dead))
     return micros_of(notice_outbox(rows, window_s=3600), "fired_at").select(
         "reason", "sensor", "fired_at", "count", "channel", "payload")
 
@@ -235,6 +240,7 @@ def _coalesced(window_s, source="""select event_type as reason, sensor, us,
 
 
 _DETAIL = "ValidationError after 2 attempts: missing_key, confidence, summary, suggested_actions, rationale"
+# Words and marks of the message layout.
 _HEALTH_LINES = {
     "enrichment_degraded": ("⚑ enrichment degraded", "OpenSearch lookup failed — zeroed context enviado al modelo (in-distribution)."),
     "age_suppressed": ("⏳ age-suppressed", "Events older than notify_max_event_age were suppressed — still queryable in OpenSearch (ADR-0004 D-16)."),
@@ -242,8 +248,12 @@ _HEALTH_LINES = {
 _health_text = " ".join(
     f"when reason = '{k}' then concat('{head} · sensor ', sensor, ' · severity ', upper(severity), chr(10), '{body}', "
     "case when count > 1 then concat(chr(10), '×', cast(count as varchar), ' en la última ventana') else '' end)"
-    for k, (head, body) in _HEALTH_LINES.items())
+    for k, (head, body) in _HEALTH_LINES.items()) + (
+    " else concat_ws(chr(10), concat('⚠️ unclassified (system) · ', reason, ' · sensor ', sensor, ' · severity ', upper(severity)), "
+    "concat_ws('   ', case when event_no % 3 <> 0 then concat('detail: ValidationError of ', event_id) end, concat('retry_count: ', cast(event_no % 2 + 1 as varchar))), "
+    "case when count > 1 then concat('×', cast(count as varchar), ' en la última ventana') end)")
 
+# Words and marks of the message layout.
 _RENDER = """concat_ws(chr(10),
    concat(case severity when 'critical' then '🔴' when 'high' then '🟠' when 'medium' then '🟡' else '⚪' end, ' ',
      upper(severity), ' · ', case classification when 'alert' then 'ALERT' when 'informational' then 'INFO' else 'noise' end,
@@ -342,9 +352,10 @@ ORACLES = {
     "open_notice_windows": f"""with recursive {ALERTS_SQL},{_coalesced(6 * 3600)}
       select reason, sensor, max_by(start_us, rn) as opened_at, max_by(held, rn) as count from chain group by reason, sensor""",
     "rendered_system_notices": f"""with recursive {ALERTS_SQL},{_coalesced(3600, '''select
-        case when severity_hint = 'low' then 'enrichment_degraded' else 'age_suppressed' end as reason, sensor, us, severity_hint as severity,
-        row_number() over (partition by severity_hint = 'low', sensor order by us, event_no) as rn from alerts''')},
-      fired as (select c.reason, c.sensor, c.at_us as fired_at, c.fired as count, n.severity from chain c
+        case when event_no % 19 = 0 then 'parse_failure' when severity_hint = 'low' then 'enrichment_degraded' else 'age_suppressed' end as reason,
+        sensor, us, severity_hint as severity, event_no, event_id,
+        row_number() over (partition by event_no % 19 = 0, event_no % 19 <> 0 and severity_hint = 'low', sensor order by us, event_no) as rn from alerts''')},
+      fired as (select c.reason, c.sensor, c.at_us as fired_at, c.fired as count, n.severity, n.event_no, n.event_id from chain c
         join n on n.reason = c.reason and n.sensor = c.sensor and n.rn = c.rn where c.fired is not null),
       said as (select *, case {_health_text} end as text from fired)
       select reason, sensor, fired_at, count, 'telegram' as channel, text as payload from said
