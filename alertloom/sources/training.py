@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from alertloom.functions.columns import iso_utc
 from alertloom.operators.dataset import normalize_rows, remap_csv_rows
 from alertloom.schemas import CONTEXT, UNIFIED_EVENT
+from alertloom.sources.split_csv import read_split_csv
 
 
 def read_labelled_csv(spark: SparkSession, path: str, now: datetime | Column, source: str = "public",
@@ -18,11 +19,14 @@ def read_labelled_csv(spark: SparkSession, path: str, now: datetime | Column, so
 
     ``source="public"`` remaps the public dataset's columns; ``"raw"`` takes the
     intermediate names as they are.  All columns are read as text.  Quoted line breaks
-    belong to their field, which makes one task read a whole file; with
-    ``multi_line=False``, for sources that have none, large files are split among tasks.
+    belong to their field; large files are split among tasks all the same.  With
+    ``multi_line=False``, for sources that have none, Spark's own reader splits them.
     """
-    rows = spark.read.options(header=True, multiLine=multi_line, escape='"', inferSchema=False,
-                              ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    if multi_line:
+        rows = read_split_csv(spark, path)
+    else:
+        rows = spark.read.options(header=True, escape='"', inferSchema=False, ignoreLeadingWhiteSpace=False,
+                                  ignoreTrailingWhiteSpace=False).csv(path)
     if source == "public":
         rows = remap_csv_rows(rows)
     elif source != "raw":
