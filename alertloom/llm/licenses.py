@@ -42,23 +42,66 @@ BASE = (
     Template("apache-2", "apache license version 2", True),
     Template("cc-by-nc", "cc by nc", True),
 )
-_NOT_GPL = ("gnu lesser", "gnu affero", "gnu library")
-_NOT_CC_BY = tuple(f"attribution {x}" for x in (
-    "noncommercial", "non commercial", "sharealike", "share alike", "noderivatives", "noderivs", "no derivatives", "no derivs"))
+_NOT_GPL = ("gnu lesser", "gnu affero", "gnu library", "lesser general", "affero general", "library general")
+_NC, _SA, _ND = ("noncommercial", "non commercial"), ("sharealike", "share alike"), (
+    "noderivatives", "noderivs", "no derivatives", "no derivs")
+_NOT_CC_BY = _NC + _SA + _ND
 NOTICES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
                     "associated documentation files", bars=("person or organization", "accompanying documentation")),
-    Template("apache-2", "you may not use this file except in compliance with the license"),
+    Template("mit", "released under the mit license", needs=("mit",)),
+    Template("mit", "licensed under the mit license", needs=("mit",)),
+    Template("apache-2", "you may not use this file except in compliance with the license", needs=("not", "except"),
+             bars=("only in compliance",)),
+    Template("apache-2", "licensed under the apache license version 2 0", needs=("apache", "2")),
+    Template("apache-2", "licensed under the apache license 2 0", needs=("apache", "2")),
     Template("gpl", "licensed under the gnu general public license", needs=("gnu",), bars=_NOT_GPL),
     Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu "
                     "general public license", needs=("gnu",), bars=_NOT_GPL),
+    Template("gpl", "under the terms of the gnu general public license version 2", needs=("gnu",), bars=_NOT_GPL),
+    Template("gpl", "under the terms of the gnu general public license version 3", needs=("gnu",), bars=_NOT_GPL),
+    Template("gpl", "released under the gnu gpl v3", needs=("gpl",)),
+    Template("gpl", "licensed under the gnu gpl v2", needs=("gpl",)),
     Template("lgpl", "under the terms of the gnu lesser general public license", needs=("lesser",)),
+    Template("lgpl", "licensed under the gnu lesser general public license", needs=("lesser",)),
+    Template("lgpl", "under the terms of the gnu library general public license", needs=("library",), bars=("gnu lesser", "gnu affero")),
     Template("agpl", "under the terms of the gnu affero general public license", needs=("affero",)),
+    Template("agpl", "licensed under the gnu affero general public license", needs=("affero",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
                     "provided that the following conditions are met"),
+    Template("bsd", "use of this source code is governed by a bsd style license", needs=("bsd",)),
+    Template("bsd", "licensed under the 3 clause bsd license", needs=("bsd",)),
+    Template("bsd", "licensed under the 2 clause bsd license", needs=("bsd",)),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is "
+                    "hereby granted provided that", bars=("without fee is hereby granted the",)),
+    Template("isc", "licensed under the isc license", needs=("isc",)),
     Template("mpl-2", "subject to the terms of the mozilla public license v 2 0", needs=("mozilla", "2")),
+    Template("mpl-2", "licensed under the mozilla public license version 2 0", needs=("mozilla", "2")),
+    Template("epl", "made available under the terms of the eclipse public license", needs=("eclipse",)),
+    Template("cddl", "subject to the terms of the common development and distribution license", needs=("development",)),
+    Template("eupl", "licensed under the european union public licence", needs=("european",)),
+    Template("artistic", "distributed under the terms of the artistic license", needs=("artistic",)),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", needs=("unencumbered",)),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be "
+                     "held liable", needs=("authors",)),
+    Template("boost", "distributed under the boost software license version 1 0", needs=("boost",)),
+    Template("wtfpl", "do what the fuck you want to public license"),
+    Template("openssl", "this product includes software developed by the openssl project", needs=("openssl",)),
+    Template("ofl", "licensed under the sil open font license version 1 1", needs=("font",)),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related rights", needs=("waived",)),
     Template("cc-by", "licensed under a creative commons attribution 4 0 international license", needs=("attribution",),
              bars=_NOT_CC_BY),
+    Template("cc-by", "licensed under the creative commons attribution 3 0 unported license", needs=("attribution",), bars=_NOT_CC_BY),
+    Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", needs=("sharealike",),
+             bars=_NC + _ND),
+    Template("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license",
+             needs=("noncommercial",), bars=_SA + _ND),
+    Template("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license", needs=("noderivatives",),
+             bars=_NC + _SA),
+    Template("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+             needs=("noncommercial", "sharealike")),
+    Template("cc-by-nc-nd", "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
+             needs=("noncommercial", "noderivatives")),
     Template("all-rights-reserved", "all rights reserved"),
 )
 
@@ -77,14 +120,22 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...], gram: i
     return spark.createDataFrame(rows, "template int, label string, base boolean, places int, m int, q int, words string")
 
 
-def template_words(spark: SparkSession, templates: tuple[Template, ...], gram: int) -> DataFrame:
-    """``(template, masks, needs, bars)``: for each word the bits of its places, null where only grams are compared.
+def template_words(templates: tuple[Template, ...], gram: int) -> Column:
+    """An array of structs by template: for each word the bits of its places, the words it needs and the runs that bar it.
 
-    Those are templates that one edit may leave without a gram, and those with more places than a number has bits.
+    The bits are null where only grams are compared: for templates that one edit may leave without a gram, and for those
+    with more places than a number has bits.
     """
-    rows = [(n, {w: sum(1 << q for q, x in enumerate(t.words) if x == w) for w in t.words}
-             if 2 * gram <= len(t.words) < 63 else None, list(t.needs), list(t.bars)) for n, t in enumerate(templates)]
-    return spark.createDataFrame(rows, "template int, masks map<string,bigint>, needs array<string>, bars array<string>")
+    def texts(values) -> Column:
+        return F.array(*map(F.lit, values)).cast("array<string>")
+
+    def masks(words: list[str]) -> Column:
+        if not 2 * gram <= len(words) < 63:
+            return F.lit(None).cast("map<string,bigint>")
+        return F.create_map(*(x for w in dict.fromkeys(words) for x in (
+            F.lit(w), F.lit(sum(1 << q for q, y in enumerate(words) if y == w)).cast("long"))))
+
+    return F.array(*(F.struct(masks(t.words).alias("masks"), texts(t.needs).alias("needs"), texts(t.bars).alias("bars")) for t in templates))
 
 
 def _aligned(words: Column, masks: Column, m: Column) -> Column:
@@ -130,8 +181,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, id_c
     of the template's grams, or its surroundings that share of its words in order, within ``stretch`` times its length;
     the latter two need the template's ``needs`` and none of its ``bars``.  Templates under two grams long are compared
     by grams alone: one edit may leave them without any.  ``score`` is the largest share of grams of any template.  Both
-    label lists are distinct, sorted and joined by commas (empty if none).  Null and empty texts have no words; repeated rows repeat;
-    rows with a null id are kept.
+    label lists are distinct, sorted and joined by commas (empty if none).  Null and empty texts have no words; repeated rows
+    repeat; rows with a null id are kept.  An empty table gives an empty result.
     """
     spots = template_grams(docs.sparkSession, templates, gram)
     rows = stage(gram_hits(docs, spots, gram, id_col, text_col), "gram-hits")
@@ -170,12 +221,10 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, id_c
     found = per_row.select(F.col("_id").alias("_sid"), F.col("_key").alias("_skey"), *per_row.columns[2:])
     both = rows.select("_id", "_key", "n_words", "text_words").join(
         found, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_key") == F.col("_skey")), "left")
-    forms = template_words(docs.sparkSession, templates, gram)
-    both = both.crossJoin(F.broadcast(forms.agg(F.map_from_entries(F.collect_list(F.struct(
-        "template", F.struct("masks", "needs", "bars")))).alias("forms"))))
+    forms = template_words(templates, gram)
 
     def verified(span: Column) -> Column:
-        form = F.try_element_at("forms", span["template"])
+        form = F.get(forms, span["template"])
 
         def at(place: Column) -> Column:
             low = F.greatest(place["start"], F.lit(0))

@@ -64,10 +64,24 @@ def test_toxicity_of_odd_rows(spark):
 # ---- URLs ----
 
 
+def plural(term):
+    """Regular plurals of the vocabulary's terms, as a reader would form them."""
+    if re.search("[0-9]$", term) or re.search("[^su]s$", term):
+        return [term]
+    for end, forms in (("us", "uses"), ("ss", "sses"), ("x", "xes"), ("z", "zes"), ("ch", "ches"), ("sh", "shes")):
+        if term.endswith(end):
+            return [term, term[:-len(end)] + forms]
+    if re.search("[^aeiou]y$", term):
+        return [term, term[:-1] + "ies"]
+    return [term, term + "s"]
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme/xxx", "http://A.Example.COM/en/x?y#z", "https://www.example.com/en/", "http://example.com",
             "http://x.net/fr/../a", "http://x.net/es/", "ftp://net/es/a", "http://notnet/es/", "http://best-casino.org/", "http://casinos.org/",
             "http://a.org/cheap/pills", "http://a.org/cheap/cheap", "http://a.org/cheapest-pills", "http://a.org/?q=PORN", "http://b://c/en",
+            "http://bets-and-casinos.org/", "http://pornhub.net", "http://a.org/%63asino", "http://a.org/%2563asino", "http://free-bonus.net/",
+            "http://free-bonuses.net/a", "http://bonus-bonuses.net/", "http://lotteries.org/wins", "http://essex.org/free", "http://a.org/%", "http://a.org/%e2%82%ac-SEX-Free",
             "//x.org/xxx", "http://h?xxx", "http://h#a-xxx-b", "http://user@h:80/é/ü", "http://a.org/" + "a/" * 5000 + "viagra", "http://x\n.net/es/"]
     rows = [(n, u, None) for n, u in enumerate(urls)] + [(1, "", None), (None, "http://x.net/fr/", "h")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(
@@ -82,10 +96,11 @@ def test_urls(spark):
         path = re.split("[?#]", rest[len(host):])[0] if rest is not None else ""
         fits = [x for x in rule if (host == x[1] or host.endswith("." + x[1])) and path.startswith(x[2])]
         best = max(fits, key=lambda x: len(x[1] + x[2]), default=None)
-        strict, soft = ({t for t in terms if re.search(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", folded(u))}
+        text = folded(re.sub("%([2-7][0-9a-fA-F])", lambda m: chr(int(m[1], 16)), u or ""))
+        strict, soft = ({t for t in terms if any(re.search(f"(?<![a-z0-9]){re.escape(f)}(?![a-z0-9])", text) for f in plural(t))}
                         for terms in (url_filter.STRICT, url_filter.SOFT))
         weight = sum(url_filter.SOFT[t] for t in sorted(soft))
-        own = "block" if strict or len(soft) >= 2 and weight >= 1.5 else "allow"
+        own = "block" if strict or len(soft) >= 2 else "allow"
         assert (r.page_id, r.host, r.path) == (i, host, path)
         assert (r.rule, r.verdict) == ((best[1] + best[2], best[0]) if best else (None, own)), u
         assert (r.strict_terms, r.soft_terms, r.soft_weight) == (len(strict), len(soft), weight)
@@ -166,32 +181,45 @@ def test_license_places_and_edited_notices(spark):
 def test_each_notice_with_one_edit_repeated_and_its_siblings(spark):
     rows, want = [], {}
 
-    def add(text, labels):
+    # what a notice says that has lost the word that tells it from a simpler one
+    simpler = {"cc-by-sa": {"cc-by"}, "cc-by-nc": {"cc-by"}, "cc-by-nd": {"cc-by"}, "cc-by-nc-sa": {"cc-by-nc", "cc-by-sa"},
+               "cc-by-nc-nd": {"cc-by-nc", "cc-by-nd"}, "lgpl": {"gpl"}, "agpl": {"gpl"}}
+
+    def add(text, labels, also=()):
         rows.append((len(rows), text, "en", "s", 0))
-        want[len(want)] = (labels, text)
+        want[len(want)] = (labels, text, set(also))
 
     for t in licenses.BASE + licenses.NOTICES:
-        add(f"{t.phrase} {t.phrase}. {t.phrase}", {t.label})
+        whole = {x.label for x in licenses.BASE + licenses.NOTICES if f" {x.phrase} " in f" {t.phrase} "}
+        add(f"{t.phrase} {t.phrase}. {t.phrase}", {t.label}, whole)
         w = t.words
         for i in range(len(w) if len(w) >= 6 else 0):
             told = {t.label} - ({t.label} if w[i] in t.needs and w.count(w[i]) == 1 else set())
             for some in ("", " edited", f" {w[i]} extra"):
                 if i or some.strip() != "edited":
                     text = f"it is {' '.join(w[:i])}{some} {' '.join(w[i + 1:])} and so on"
-                    add(text, {t.label} if "extra" in some else told)
+                    lost = "extra" not in some and w[i] in t.needs
+                    add(text, {t.label} if "extra" in some else told, whole | (simpler.get(t.label, set()) if lost else set()))
     add("licensed under gnu general public license", {"gpl"})
     add("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", {"lgpl"})
     add("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", {"agpl"})
     add("this library is free software you can redistribute it and or modify it under the terms of the gnu general public license", {"gpl"})
-    for more in ("noncommercial", "noncommercial sharealike", "sharealike", "noderivatives", "non commercial", "no derivatives"):
-        add(f"licensed under a creative commons attribution {more} 4 0 international license", set())
+    for more, label in (("noncommercial", {"cc-by-nc"}), ("noncommercial sharealike", {"cc-by-nc-sa"}), ("sharealike", {"cc-by-sa"}),
+                        ("noderivatives", {"cc-by-nd"}), ("non commercial", set()), ("no derivatives", set())):
+        add(f"licensed under a creative commons attribution {more} 4 0 international license", label)
+    add("you may use this file only in compliance with the license", set())
+    for text, label in (("licensed under the gnu lesser general public license v2 1", "lgpl"), ("mozilla public license version 2 0", None),
+                        ("this file is licensed under the apache license 2 0", "apache-2"), ("released under the gnu gpl v3", "gpl"),
+                        ("licensed under the 3 clause bsd license", "bsd"), ("released under the terms of the gnu general public license version 2", "gpl"),
+                        ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc")):
+        add(text, {label} if label else set())
     add("subject to the terms of the mozilla public license v 1 1", set())
     add("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and "
         "accompanying documentation covered by this license", set())
     add("the terms of the contract are provided that the following day to any person with or without a copy of this", set())
     wrong = [(r.labels, *want[r.doc_id]) for r in licenses.scan(frame(spark, rows)).collect()
-             if set(r.labels.split(",")) - {""} != want[r.doc_id][0]]
-    assert not wrong, wrong[:10]
+             if not want[r.doc_id][0] <= set(r.labels.split(",")) - {""} <= want[r.doc_id][0] | want[r.doc_id][2]]
+    assert not wrong, "\n".join(map(str, [len(rows), *wrong]))
 
 
 def test_aligned_words_are_the_longest_common_subsequence(spark):
@@ -209,9 +237,13 @@ def test_aligned_words_are_the_longest_common_subsequence(spark):
             row = new
         return row[-1]
 
-    forms = licenses.template_words(spark, tuple(licenses.Template("x", " ".join(form)) for *_, form in cases), 3)
-    df = spark.createDataFrame([(n, w, len(form)) for n, w, form in cases], "template int, w array<string>, m int").join(forms, "template")
-    got = {r.template: r.n for r in df.select("template", licenses._aligned(F.col("w"), F.col("masks"), F.col("m")).alias("n")).collect()}
+    got = {}
+    for at in range(0, len(cases), 30):
+        some = cases[at:at + 30]
+        forms = licenses.template_words(tuple(licenses.Template("x", " ".join(form)) for *_, form in some), 3)
+        df = spark.createDataFrame([(n, n - at, w, len(form)) for n, w, form in some], "n int, template int, w array<string>, m int")
+        got |= {r.n: r.k for r in df.select("n", licenses._aligned(
+            F.col("w"), F.get(forms, F.col("template"))["masks"], F.col("m")).alias("k")).collect()}
     assert got == {n: longest(w, form) for n, w, form in cases}
 
 
