@@ -8,8 +8,9 @@ Bloom filters of 2,048 bits, a new one after every 160 features; the chain of fi
 Two fingerprints are compared filter by filter: shared bits beyond those that chance gives two filters so full, over
 the most possible.  Each filter of the shorter chain counts with its best partner, weighted by its bits.
 
-A text of a few windows has one feature or few, and their likeness is all or nothing.  Texts of up to 512 bytes
-therefore have a second chain, of all their 8-byte windows, and are compared by it as well.
+A text of few windows would have one feature or few, and its likeness would be all or nothing.  The features of texts of
+up to 512 bytes are therefore all their 8-byte windows, and those of 384 bytes on have the selected 64-byte windows: between
+the two a text has both, so that an edit that moves a text over a border leaves it features in common with what it was.
 """
 
 import base64
@@ -29,7 +30,7 @@ WINDOW, RUN, VOTES = 64, 64, 16
 STEPS = 1000                 # entropy values
 WEAK = 100                   # windows below this entropy (nearly one byte repeated) are no features
 BITS, HASHES, PER_FILTER = 2048, 5, 160
-SHORT, SHORT_WINDOW = 512, 8  # bytes
+FINE_TO, FINE, COARSE_FROM = 512, 8, 384  # bytes: texts up to the first have windows of the second, from the third on of 64
 _UNIT = 1 << 16
 _C = np.arange(WINDOW + 1)
 _SURPRISE = np.rint(_C * np.log2(np.maximum(_C, 1)) * _UNIT).astype(np.int64)  # c log2 c, in integers: sums stay exact
@@ -102,8 +103,8 @@ def _selected(ranks: np.ndarray) -> np.ndarray:
 
 
 def features(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
-    """Hashes of each text's selected windows in order, each once.  A text shorter than a window is one feature."""
-    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
+    """Hashes of each text's features in order, each once.  A text under 8 bytes is one feature, an empty one has none."""
+    out: list[np.ndarray] = []
     hashed = xxhash.xxh64_intdigest
     for at, starts, data in _joined(texts):
         n, e = len(data), entropies(np.frombuffer(data, np.uint8))
@@ -121,32 +122,18 @@ def features(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
         cuts = np.searchsorted(chosen, starts)
         for i in range(len(starts) - 1):
             start, end = int(starts[i]), int(starts[i + 1])
-            places = chosen[cuts[i]:cuts[i + 1]]
-            if not len(places):
-                if end == start:
-                    continue
-                if end - start < WINDOW:
-                    out[at + i] = np.array([hashed(data[start:end])], np.uint64)
-                    continue
-                places = start + _selected(ranks[e[start:end - WINDOW + 1]])
-            h = dict.fromkeys([hashed(data[p:p + WINDOW]) for p in places.tolist()])
-            out[at + i] = np.fromiter(h, np.uint64, len(h))
+            h: dict[int, None] = {}
+            if 0 < end - start <= FINE_TO:
+                h = dict.fromkeys(hashed(data[p:min(p + FINE, end)]) for p in range(start, max(start, end - FINE) + 1))
+            if end - start >= COARSE_FROM:
+                places = chosen[cuts[i]:cuts[i + 1]]
+                if not len(places):
+                    places = start + _selected(ranks[e[start:end - WINDOW + 1]])
+                h |= dict.fromkeys(hashed(data[p:p + WINDOW]) for p in places.tolist())
+            out.append(np.fromiter(h, np.uint64, len(h)))
     return out
 
 
-def short_chain(text: bytes) -> np.ndarray | None:
-    """The chain of all 8-byte windows of a text of up to 512 bytes (under 8, of the text); None for longer ones."""
-    if len(text) > SHORT:
-        return None
-    windows = dict.fromkeys(text[p:p + SHORT_WINDOW] for p in range(max(1, len(text) - SHORT_WINDOW + 1))) if text else ()
-    return filters(np.array([xxhash.xxh64_intdigest(w) for w in windows], np.uint64))
-
-
-def short_likeness(a: np.ndarray | None, b: np.ndarray | None) -> float | None:
-    """Likeness of two short texts; None where one of them is longer."""
-    return None if a is None or b is None else likeness(a, b)
-
-
 def filters(hashes: np.ndarray) -> np.ndarray:
     """The chain of Bloom filters, one row of bits-in-bytes each."""
     if not len(hashes):
@@ -179,8 +166,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return min(1.0, total / float(nx.sum()))
 
 
-def encoded(chain: np.ndarray | None) -> str | None:
-    return None if chain is None else base64.b64encode(chain.tobytes()).decode()
+def encoded(chain: np.ndarray) -> str:
+    return base64.b64encode(chain.tobytes()).decode()
 
 
 # ---- Spark --------------------------------------------------------------------------------------------------------
@@ -204,20 +191,14 @@ def entropy_ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(<id>, fingerprint, short_fingerprint)`` for every row; null texts count as empty, whose fingerprints are empty.
-
-    The second is null for texts over 512 bytes.
-    """
+    """``(<id>, fingerprint)`` for every row; null texts count as empty, whose fingerprint is empty."""
     def run(batches):
         for batch in sliced(batches, 256):
-            texts = [t or b"" for t in as_bytes(batch.column(1))]
-            found = features(texts, ranks)
-            yield (batch.column(0), [encoded(filters(h)) for h in found],
-                   pa.array([encoded(short_chain(t)) for t in texts], pa.string()))
+            found = features([t or b"" for t in as_bytes(batch.column(1))], ranks)
+            yield batch.column(0), [encoded(filters(h)) for h in found]
 
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    return arrow_map(rows, run, fields(rows, StructField("fingerprint", StringType()), StructField(
-        "short_fingerprint", StringType()))).withColumnRenamed("_id", id_col)
+    return arrow_map(rows, run, fields(rows, StructField("fingerprint", StringType()))).withColumnRenamed("_id", id_col)
 
 
 def _place(bounds: list, value) -> int:
@@ -273,26 +254,22 @@ def _neighbour_columns(ranks: np.ndarray):
                 continue
             edited = [_edited(rows[i][3], rows[i + 1][3]).encode() for i in pairs]
             texts = [r[3].encode() for r in rows] + edited
-            chains, short = [filters(h) for h in features(texts, ranks)], [short_chain(t) for t in texts]
+            chains = [filters(h) for h in features(texts, ranks)]
             own, other = chains[:len(rows)], chains[len(rows):]
             ids = pa.concat_arrays([rows[i][2] for i in pairs])
             yield (ids, [len(rows[i][3]) for i in pairs], [hashlib.sha256(e).hexdigest() for e in edited],
                    [encoded(own[i]) for i in pairs], [encoded(c) for c in other],
-                   [likeness(own[i], c) for i, c in zip(pairs, other)], [likeness(own[i], own[i + 1]) for i in pairs],
-                   pa.array([encoded(short[i]) for i in pairs], pa.string()),
-                   pa.array([short_likeness(short[i], c) for i, c in zip(pairs, short[len(rows):])], pa.float64()),
-                   pa.array([short_likeness(short[i], short[i + 1]) for i in pairs], pa.float64()))
+                   [likeness(own[i], c) for i, c in zip(pairs, other)], [likeness(own[i], own[i + 1]) for i in pairs])
     return run
 
 
 def edit_report(docs: DataFrame, ranks: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text",
                 stretches: int | None = None, sample: int = 10_000) -> DataFrame:
-    """``(<id>, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, short_fingerprint,
-    short_edited, short_next)`` for every row.
+    """``(<id>, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)`` for every row.
 
     The edited text has its last quarter of code points replaced by the first as many of the next document's; next is
     by ascending id, nulls first, then by a hash of the text, and after the last comes the first.  A single row is
-    its own next.  Null texts count as empty.  The id order is cut into stretches at ids from a sample of at most
+    its own next.  Null texts count as empty, repeated rows are neighbours, an empty table gives an empty result.  The id order is cut into stretches at ids from a sample of at most
     ``sample`` (it affects balance only); texts are shuffled once, compressed.
     """
     spark = docs.sparkSession
@@ -323,5 +300,4 @@ def edit_report(docs: DataFrame, ranks: np.ndarray | None = None, id_col: str =
     return arrow_map(sorted_, _neighbour_columns(ranks), StructType([
         StructField(id_col, rows.schema["_id"].dataType), StructField("n_chars", LongType()), StructField("edited_sha256", text),
         StructField("fingerprint", text), StructField("edited_fingerprint", text), StructField("near_edited", score),
-        StructField("near_next", score), StructField("short_fingerprint", text), StructField("short_edited", score),
-        StructField("short_next", score)]))
+        StructField("near_next", score)]))

@@ -319,9 +319,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(prints, bits))
     low = roots.join(distinct.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("first").alias("low"))
     grouped = roots.join(low, "root").select(F.col("node").alias("fp"), "low", "root")
-    classes = distinct.join(grouped, "fp", "left").select(
+    # Written, so that rows meet a plain table: that join can split a fingerprint that very many rows share.
+    classes = stage(distinct.join(grouped, "fp", "left").select(
         "fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id"),
-        F.coalesce("root", "fp").alias("root"))
+        F.coalesce("root", "fp").alias("root")), "simhash-components")
     return prints.join(classes, "fp").select(F.col("_id").alias(id_col), "fp", "component_id", "root")
 
 

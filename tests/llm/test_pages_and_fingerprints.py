@@ -157,21 +157,21 @@ def test_entropy_of_every_window():
 
 def brute_features(text, ranks):
     """Selected windows by the definition, one window at a time."""
-    if len(text) < 64:
-        return [text] if text else []
-    e = rare_features.entropies(np.frombuffer(text, np.uint8))
-    r = ranks[e]
-    votes = Counter()
-    for start in range(len(r) - 63):
-        votes[start + int(r[start:start + 64].argmin())] += 1
-    chosen = [p for p in sorted(votes) if votes[p] >= 16 and e[p] >= rare_features.WEAK]
-    chosen = chosen or [int(r.argmin())]
-    return list(dict.fromkeys(text[p:p + 64] for p in chosen))
+    fine = [text[p:p + 8] for p in range(max(1, len(text) - 7))] if 0 < len(text) <= 512 else []
+    chosen = []
+    if len(text) >= 384:
+        e = rare_features.entropies(np.frombuffer(text, np.uint8))
+        r = ranks[e]
+        votes = Counter()
+        for start in range(len(r) - 63):
+            votes[start + int(r[start:start + 64].argmin())] += 1
+        chosen = [p for p in sorted(votes) if votes[p] >= 16 and e[p] >= rare_features.WEAK] or [int(r.argmin())]
+    return list(dict.fromkeys(fine + [text[p:p + 64] for p in chosen]))
 
 
 def test_features_and_their_independence_of_neighbours():
     rng = np.random.default_rng(1)
-    texts = [bytes(rng.integers(97, 97 + rng.integers(1, 26), n).astype(np.uint8)) for n in (0, 1, 63, 64, 100, 126, 127, 128, 500, 4000, 0, 64)]
+    texts = [bytes(rng.integers(97, 97 + rng.integers(1, 26), n).astype(np.uint8)) for n in (0, 1, 7, 8, 63, 64, 128, 383, 384, 500, 512, 513, 4000, 0, 64)]
     ranks = rare_features.ranks_from(rare_features.histogram(texts))
     import xxhash
 
@@ -235,25 +235,25 @@ def test_edit_report_of_odd_rows(spark):
         assert by_text.setdefault(text or "", r.fingerprint) == r.fingerprint
 
 
-def test_short_texts_are_compared_by_all_their_windows(spark):
+def test_short_texts_are_near_their_edits(spark):
     words = "The quick brown fox jumps over a lazy dog while seven wizards mix boxes of liquid jade and hum old tunes by night ".split()
     rnd = np.random.default_rng(3)
-    texts = [" ".join(rnd.choice(words, 80))[:n] for n in (30, 40, 50, 63, 64, 80, 100, 126, 127, 141, 142, 200, 300, 512, 513, 2000)]
-    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts + ["", "short"])]
+    sizes = [*range(32, 142, 3), 200, 300, 383, 384, 390, 511, 512, 513, 520, 2000]
+    rows = [(i, " ".join(rnd.choice(words, 400))[:n], "en", "s", 0) for i, n in enumerate(sizes)]
     got = {r.doc_id: r for r in rare_features.edit_report(frame(spark, rows, clashing=True)).collect()}
-    for i, text in enumerate(texts):
-        r, gone = got[i], len(text) // 4
-        following = rows[i + 1][1]
-        edited = text[:len(text) - gone] + following[:gone]
-        assert (r.short_fingerprint is None) == (r.short_edited is None) == (len(text) > 512)
-        if len(text) <= 512:
+    near = [got[i].near_edited for i, *_ in rows]
+    short = [x for x, n in zip(near, sizes) if n <= 141]
+    assert sum(x >= 0.5 for x in short) >= 0.9 * len(short) and min(near[len(short):]) >= 0.5
+    for (i, text, *_), following in zip(rows, rows[1:]):
+        if len(text) < 384 and len(following[1]) < 384:
             def grams(t):
                 return {t[p:p + 8] for p in range(len(t) - 7)}
+            edited = text[:len(text) - len(text) // 4] + following[1][:len(text) // 4]
             a, b = grams(text), grams(edited)
-            assert abs(r.short_edited - len(a & b) / min(len(a), len(b))) < 0.2 and r.short_edited >= 0.5
-            assert r.short_next is None if len(following) > 512 else r.short_next <= 0.5
-    assert got[0].near_edited == 0 and got[0].short_edited >= 0.5  # by one feature alone the copy is lost
-    assert got[len(texts)].short_fingerprint == "" and got[len(texts) + 1].short_fingerprint
-    prints = {r.doc_id: r for r in rare_features.fingerprints(frame(spark, rows), np.arange(1001, dtype=np.int32)).collect()}
-    assert all(prints[i].short_fingerprint == r.short_fingerprint for i, r in got.items())
-    assert rare_features.short_likeness(rare_features.short_chain(b"same"), rare_features.short_chain(b"same")) == 1.0
+            assert abs(got[i].near_edited - len(a & b) / min(len(a), len(b))) < 0.2
+    # an edit that changes the bytes leaves features in common over both borders
+    ranks = np.arange(1001, dtype=np.int32)
+    base = " ".join(rnd.choice(words, 400)).encode()
+    for n in (370, 380, 500, 510):
+        a, b = (rare_features.filters(h) for h in rare_features.features([base[:n], base[:n + 20]], ranks))
+        assert rare_features.likeness(a, b) >= 0.5
