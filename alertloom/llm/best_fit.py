@@ -128,8 +128,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     and the number of that document's ids before it.
 
     Null texts count as empty (only the end id); with ``end=None`` empty texts have no segment.  Null and repeated ids
-    are packed row by row.  An empty table gives an empty result.
+    are packed row by row.  An empty table gives an empty result.  Positions have 16 bits, which bounds ``length``.
     """
+    if not 0 < length <= 1 << 16:
+        raise ValueError("length must be 1 to 65,536: positions have 16 bits")
     long = LongType()
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
     return arrow_map(rows, _columns(length, tokenizer, end, pad, group_ids), StructType([

@@ -61,6 +61,78 @@ def test_toxicity_of_odd_rows(spark):
         assert all(not r.rejected for r in toxicity.score(docs, model).where("doc_id <> 0").collect()) or not rows
 
 
+def plain_forward(words, rows, conv, conv_bias, out, out_bias, s):
+    """Largest response of every filter, where it stands, and the logit, place by place."""
+    emb = [rows[a] + rows[b] for a, b in words] or [np.zeros(s.width)]
+    best, place, column = [], [], 0
+    for width in s.sizes:
+        for f in range(s.filters):
+            at = [sum(float(emb[t + j] @ conv[:, column + j * s.filters + f]) for j in range(width) if t + j < len(emb))
+                  for t in range(len(emb))]
+            place.append(int(np.argmax(at)))
+            best.append(max(at))
+        column += width * s.filters
+    raw = np.array(best) + conv_bias
+    return raw, place, float(np.maximum(raw, 0) @ out + out_bias), emb
+
+
+def test_forward_pass_and_training_steps_against_plain_loops():
+    s = toxicity.Settings(epochs=2, batch=64, width=3, filters=2, sizes=(1, 2, 3), bits=10, kept_aside=0.0)
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(1, 30, (n, 2)).astype(np.uint32) for n in (0, 1, 2, 5, 9, 4, 7, 3, 6, 8, 2, 5)]
+    labels = np.array([i % 2 for i in range(len(docs))])
+    model = toxicity.train(docs, labels, ["en"] * len(docs), s)
+    # the same two steps over the whole set, by hand
+    draw = np.random.default_rng(s.seed)
+    vocabulary = sorted({int(x) for d in docs for x in d.ravel()} - {0})
+    row_of = {h: i + 1 for i, h in enumerate(vocabulary)}
+    conv = draw.normal(0, 0.5, (s.width, 6 * s.filters))
+    rows, bias, out, out_bias = np.zeros((len(vocabulary) + 1, s.width)), np.full(6, 0.1), draw.normal(0, 0.3, 6), 0.0
+    squares, moments = np.full(len(rows), 1e-8), {}
+
+    def adam(name, grad, t):
+        m, v = moments.setdefault(name, [np.zeros_like(grad), np.zeros_like(grad)])
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        moments[name] = [m, v]
+        return s.rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+
+    texts = [[(row_of[int(a)], row_of[int(b)]) for a, b in d] for d in docs]
+    for t in (1, 2):
+        g_conv, g_bias, g_out, g_out_bias, g_rows = np.zeros_like(conv), np.zeros(6), np.zeros(6), 0.0, np.zeros_like(rows)
+        for words, y in zip(texts, labels):
+            raw, place, z, emb = plain_forward(words, rows, conv, bias, out, out_bias, s)
+            error = (1 / (1 + np.exp(-z)) - y) * 1.0 / len(docs)  # both labels half of the rows: weight 1
+            g_out += np.maximum(raw, 0) * error
+            g_out_bias += error
+            column = 0
+            for k, width in enumerate(s.sizes):
+                for f in range(s.filters):
+                    i = k * s.filters + f
+                    back = error * out[i] * (raw[i] > 0)
+                    g_bias[i] += back
+                    for j in range(width):
+                        if place[i] + j < len(words):
+                            c = column + j * s.filters + f
+                            g_conv[:, c] += back * emb[place[i] + j]
+                            for r in words[place[i] + j]:
+                                g_rows[r] += back * conv[:, c]
+                column += width * s.filters
+        touched = [r for r in range(1, len(rows)) if np.abs(g_rows[r]).sum() > 0]
+        for r in touched:
+            squares[r] += (g_rows[r] ** 2).sum()
+            rows[r] -= 0.2 * g_rows[r] / np.sqrt(squares[r])
+        conv = conv - adam("conv", g_conv + s.decay * conv, t)
+        bias = bias - adam("bias", g_bias, t)
+        out = out - adam("out", g_out + s.decay * out, t)
+        out_bias -= float(adam("out_bias", np.array([g_out_bias]), t)[0])
+    found = {int(h): r for h, r in zip(model.hashes, model.rows[1:])}
+    for h, i in row_of.items():
+        assert np.allclose(found.get(h, 0), rows[i], atol=2e-3), h
+    assert np.allclose(model.conv, conv, atol=2e-3) and np.allclose(model.out, out, atol=2e-3) and abs(model.out_bias - out_bias) < 2e-3
+    logits = [plain_forward(w, rows, conv, bias, out, out_bias, s)[2] for w in texts]
+    assert np.allclose(model.logits(docs), logits, atol=1e-2)
+
+
 # ---- URLs ----
 
 

@@ -65,6 +65,8 @@ def test_best_fit_round_trip(spark, tmp_path):
     blocks = spark.read.parquet(str(tmp_path / "m")).collect()
     assert sum(b["rows"] for b in blocks) == packed.count() and all(len(b.ids) == 128 * b["rows"] for b in blocks)
     assert best_fit.pack(frame(spark, [])).count() == 0
+    with pytest.raises(ValueError, match="16 bits"):
+        best_fit.pack(frame(spark, rows), length=65_537)
 
 
 def check_pieces(rows, pieces, length):
