@@ -137,7 +137,7 @@ from d left join kept using (doc_id)"""
 # CRC-32 of the UTF-8 of a column ``text``, byte by byte with a table.
 _CRC_TABLE = """crc_table as (select list(c order by b) as steps from (select b, list_reduce(range(8),
    lambda a, i: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, b::bigint) as c from range(256) r(b)))"""
-_CRC = """xor(list_reduce(list_transform(range(0, strlen(coalesce(text, ''))), lambda i: ('0x' || substr(hex(text), 2 * i + 1, 2))::bigint),
+_CRC = """xor(list_reduce(list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::bigint),
    lambda a, x: xor(a >> 8, steps[1 + (xor(a, x) & 255)]), 4294967295::bigint), 4294967295)"""
 
 ORACLES: dict[str, str] = {
