@@ -8,7 +8,7 @@ from alertloom.operators.metrics import counter_rate
 from alertloom.operators.networks import with_network
 from alertloom.operators.scoring import dead_letters, resolve_attempts
 from alertloom.operators.sketches import approx_distinct_24h
-from alertloom.session import fresh_path
+from alertloom.session import fresh_path, stage
 from alertloom.sources.samples import read_samples, write_samples
 from alertloom.sources.sinks import KeyedTable, append_dead_letters, persist_records, publish_events
 from catalog.base import ALERTS_SQL, DECIDED_SQL, alerts, micros_of, table, varied_scorer
@@ -32,7 +32,7 @@ def published_twice(spark, d):
 
 def dead_letter_log(spark, d):
     path = fresh_path(spark, "dead-letters")
-    out = dead_letters(resolve_attempts(varied_scorer(enriched(spark, d))), F.col("timestamp"))
+    out = stage(dead_letters(resolve_attempts(varied_scorer(enriched(spark, d))), F.col("timestamp")), "dead-letters-made")
     for some in (out.where("severity = 'low'"), out, out.where("severity <> 'low'")):
         append_dead_letters(some, path)
     return micros_of(KeyedTable(path).read(spark), "dead_lettered_at")

@@ -164,3 +164,14 @@ def test_folded_stream_state_is_bounded_and_changes_nothing(spark, monkeypatch,
             assert held == [4, 5] and folds == [4]
             assert [n for n in range(parts) if written(spark, batch_dir(f"{stream.root}/sessions", n))] == [4, 5]
     assert results[0] == results[1]
+
+
+def test_dead_letter_log_looks_history_up_once(spark, monkeypatch):
+    from catalog import stores
+
+    given, append = [], stores.append_dead_letters
+    monkeypatch.setattr(stores, "append_dead_letters", lambda rows, path: (given.append(rows), append(rows, path)))
+    assert stores.dead_letter_log(spark, "/root/testdata/sf0.001").count() == given[1].count() > 0
+    assert len(given) == 3
+    for rows in given:
+        assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
