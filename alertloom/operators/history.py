@@ -203,15 +203,29 @@ def edge_slots(first_us: Column, last_us: Column, at: Column, slot_s: int = SLOT
     return near | slot.between(lo - DAY_S // slot_s, hi - DAY_S // slot_s)
 
 
+def reaching_slots(slots: DataFrame, first_us: Column, slot_s: int = SLOT_S) -> DataFrame:
+    """Slot summaries as far as events from ``first_us`` on need them.
+
+    Behind the longest counted span only a key's last time is asked for: those slots become one row per key.  A rule
+    that came and went before the first event's slot adds nothing to any count.
+    """
+    near = F.col("slot") >= cell_of(first_us, slot_s * MICROS) - DAY_S // slot_s
+    far = slots.where(~near).groupBy("key").agg(F.max("last_us").alias("last_us")).select(
+        "key", F.lit(None).cast("string").alias("rule"), cell_of(F.col("last_us"), slot_s * MICROS).alias("slot"),
+        F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first_us"), "last_us")
+    return slots.where(near).select(far.columns).unionByName(far)
+
+
 def history_counts(events: DataFrame, history: DataFrame, slot_s: int = SLOT_S,
-                   past_slots: DataFrame | None = None) -> DataFrame:
+                   past_slots: DataFrame | None = None, since: Column | None = None) -> DataFrame:
     """Events plus src_ip_seen_before, related_events_24h, events_last_10min and
     distinct_rules_from_src_24h, all exact.
 
     ``history`` is the alert table.  It holds the events themselves too (an event never
     counts itself because its own instant is excluded); pass the same frame twice when
     it holds nothing else, which saves a scan.  With ``past_slots``, the slot summary of
-    all of the history, ``history`` need only hold its ``edge_slots``.
+    all of the history, ``history`` need only hold its ``edge_slots``.  ``since`` is a time (in
+    microseconds) that no event lies before: what falls into slots before it is not shuffled.
     """
     if any(span % slot_s for span in (BURST_S, DAY_S, SEEN_S)):
         raise ValueError("slot_s must divide ten minutes")
@@ -234,8 +248,10 @@ def history_counts(events: DataFrame, history: DataFrame, slot_s: int = SLOT_S,
     rows = (
         steps.withColumn("slot", cell_of(F.col("us"), slot_us))
         .unionByName(_carried_steps(_fold_slots(parts), slot_us), allowMissingColumns=True)
-        .repartition("key", "slot")
     )
+    if since is not None:
+        rows = rows.where(F.coalesce(F.col("slot") >= cell_of(since, slot_us), F.lit(True)))
+    rows = rows.repartition("key", "slot")
     past_rows = Window.unboundedPreceding, -1
     of_key = Window.partitionBy("key", "slot").orderBy("us").rangeBetween(*past_rows)
     of_rule = Window.partitionBy("key", "slot", "rule").orderBy("us").rangeBetween(*past_rows)
@@ -245,18 +261,18 @@ def history_counts(events: DataFrame, history: DataFrame, slot_s: int = SLOT_S,
 
     is_net = F.col("event.src_ip").isNotNull()
     seen = F.max("seen_us").over(of_key) >= F.col("us") - F.lit(SEEN_S * MICROS)
-    return (
-        rows.select(
-            "event",
-            (is_net & F.coalesce(seen, F.lit(False))).alias("src_ip_seen_before"),
-            total("d_related", of_rule).alias("related_events_24h"),
-            total("d_rules", of_key).alias("distinct_rules_from_src_24h"),
-            total("d_burst", of_key).alias("events_last_10min"),
-        )
-        .where(F.col("event").isNotNull())
-        .select("event.*", "src_ip_seen_before", "related_events_24h",
-                "distinct_rules_from_src_24h", "events_last_10min")
+    by_key = rows.select(
+        "event", "key", "slot", "rule", "us", "d_related",
+        (is_net & F.coalesce(seen, F.lit(False))).alias("src_ip_seen_before"),
+        total("d_rules", of_key).alias("distinct_rules_from_src_24h"),
+        total("d_burst", of_key).alias("events_last_10min"),
     )
+    # Most steps are not about a rule's count: they have done their part and are not sorted again.
+    by_rule = by_key.where(F.col("event").isNotNull() | (F.col("d_related") != 0)).select(
+        "event", "src_ip_seen_before", total("d_related", of_rule).alias("related_events_24h"),
+        "distinct_rules_from_src_24h", "events_last_10min")
+    return by_rule.where(F.col("event").isNotNull()).select(
+        "event.*", "src_ip_seen_before", "related_events_24h", "distinct_rules_from_src_24h", "events_last_10min")
 
 
 SALTS = 32
@@ -382,7 +398,8 @@ def with_batch_findings(resolved: DataFrame) -> DataFrame:
 
 def enrich(events: DataFrame, history: DataFrame | None, triaged: DataFrame | None = None,
            allowlist: str | list[str] | DataFrame | None = None,
-           degraded: Column | None = None, past_slots: DataFrame | None = None, within: bool = True) -> DataFrame:
+           degraded: Column | None = None, past_slots: DataFrame | None = None, within: bool = True,
+           since: Column | None = None) -> DataFrame:
     """Events plus ``context``.  ``history=None`` means the look-ups are unavailable.
 
     ``degraded`` marks single events whose look-ups failed.  Events of one call count as
@@ -390,7 +407,7 @@ def enrich(events: DataFrame, history: DataFrame | None, triaged: DataFrame | No
     """
     if history is None:
         return events.withColumn("context", zeroed_context())
-    out = history_counts(events, history, past_slots=past_slots)
+    out = history_counts(events, history, past_slots=past_slots, since=since)
     out = finding_recurrence(out, triaged, among=events, within=within)
     out = allowlisted(out, allowlist)
     return out.withColumn("context", context_struct(degraded)).select(*events.columns, "context")
