@@ -23,15 +23,20 @@ Enricher = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class Triage:
-    """Frames of one run.  ``resolved`` and ``decided`` are tables when staged."""
+    """Frames of one run.  ``answers`` and ``decided`` are tables when staged.
+
+    ``resolved`` is ``answers`` with the findings of the run itself in its context.  What asks for neither of them reads
+    ``answers``, so that the findings are joined once, for ``decided``.
+    """
 
     resolved: DataFrame
     decided: DataFrame
     now: datetime | Column
+    answers: DataFrame | None = None
 
     @property
     def dead_letters(self) -> DataFrame:
-        return dead_letters(self.resolved, self.now)
+        return dead_letters(self.answers, self.now)
 
     @property
     def records(self) -> DataFrame:
@@ -48,8 +53,8 @@ class Triage:
     @property
     def notices(self) -> DataFrame:
         """Health notices at event time, before coalescing."""
-        failed = dead_letters(self.resolved, F.col("timestamp"))
-        degraded = self.resolved.where("context.lookup_degraded")
+        failed = dead_letters(self.answers, F.col("timestamp"))
+        degraded = self.answers.where("context.lookup_degraded")
         return system_notices(failed, degraded, self.decided.where("reason = 'age_suppressed'"))
 
 
@@ -58,7 +63,8 @@ def triage(events: DataFrame, history: DataFrame | None, now: datetime | Column,
            allowlist: str | list[str] | DataFrame | None = None, degraded: Column | None = None,
            threshold: float = _decide.CONFIDENCE_THRESHOLD, max_age_s: float = _decide.MAX_EVENT_AGE_S,
            gap_s: int = GAP_S, open_sessions: DataFrame | None = None,
-           past_slots: DataFrame | None = None, staged: bool = True, enrichers: tuple[Enricher, ...] = ()) -> Triage:
+           past_slots: DataFrame | None = None, staged: bool = True, enrichers: tuple[Enricher, ...] = (),
+           since: Column | None = None) -> Triage:
     """Enrich, score, resolve, group and decide.
 
     The scored rows feed the session summary, the session join and the dead letters, and
@@ -68,17 +74,17 @@ def triage(events: DataFrame, history: DataFrame | None, now: datetime | Column,
     this run got a valid answer.  The scorer sees the former; the latter is known once the answers are judged.
     ``enrichers`` add columns of their own to the rows with their context, for the scorer and for what follows.
     """
-    enriched = enrich(events, history, triaged, allowlist, degraded, past_slots, within=False)
+    enriched = enrich(events, history, triaged, allowlist, degraded, past_slots, within=False, since=since)
     for enricher in enrichers:
         enriched = enricher(enriched)
-    resolved = resolve_attempts(scorer(enriched))
+    answers = resolve_attempts(scorer(enriched))
     if staged:
-        resolved = stage(resolved, "resolved")
-    resolved = with_batch_findings(resolved)
+        answers = stage(answers, "resolved")
+    resolved = with_batch_findings(answers)
     decided = _decide.decide(scored_rows(resolved), now, threshold, max_age_s, gap_s, open_sessions)
     if staged:
         decided = stage(decided, "decided")
-    return Triage(resolved, decided, now)
+    return Triage(resolved, decided, now, answers)
 
 
 def notification_outbox(notifications: DataFrame, channels: tuple[str, ...] = ("slack", "telegram")) -> DataFrame:

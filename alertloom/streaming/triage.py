@@ -31,7 +31,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from alertloom.functions.columns import MICROS, micros
 from alertloom.operators.dedupe import dedupe_events
-from alertloom.operators.history import SEEN_S, edge_slots, slot_summary
+from alertloom.operators.history import SEEN_S, edge_slots, reaching_slots, slot_summary
 from alertloom.operators.notices import coalesce_notices
 from alertloom.operators.scoring import Scorer, rubric_scorer
 from alertloom.operators.sessions import GAP_S
@@ -168,16 +168,17 @@ class TriageStream:
                 hi: datetime | None, batch_id: int) -> None:
         slim = events.select(*HISTORY_COLUMNS, F.to_date("timestamp").alias("event_date"))
         self._write(slim, "alerts", batch_id, by_day=True)
-        mine = slot_summary(events)
         slot_day = F.to_date(F.timestamp_micros("first_us"))
-        self._write(mine.withColumn("event_date", slot_day), "slots", batch_id, by_day=True)
+        self._write(slot_summary(events).withColumn("event_date", slot_day), "slots", batch_id, by_day=True)
+        mine = self.spark.read.schema(FOLDED["slots"]).parquet(batch_dir(f"{self.root}/slots", batch_id)).select(*SLOTS.names)
 
-        history, past_slots, done = events.select(*HISTORY_COLUMNS), mine, None
+        history, past_slots, done, since = events.select(*HISTORY_COLUMNS), mine, None, None
         if past is not None:
             edges = edge_slots(micros(F.lit(lo)), micros(F.lit(hi)), micros("timestamp"))
             history = history.unionByName(past.where(edges).select(*HISTORY_COLUMNS))
-            past_slots = mine.unionByName(
-                self._state("slots", batch_id).where(self._in_reach(lo, hi)).select(*SLOTS.names))
+            since = micros(F.lit(lo))
+            past_slots = reaching_slots(mine.unionByName(
+                self._state("slots", batch_id).where(self._in_reach(lo, hi)).select(*SLOTS.names)), since)
             ids = events.where("event_type = 'finding'").select(F.col("source_alert_id").alias("alert_id")).distinct()
             done = self._state("findings", batch_id).join(ids, "alert_id", "left_semi")
 
@@ -185,7 +186,8 @@ class TriageStream:
         run = triage(
             events, history, self.now if self.now is not None else F.current_timestamp(),
             scorer=self.scorer, triaged=done, allowlist=self.allowlist, threshold=self.threshold,
-            max_age_s=self.max_age_s, gap_s=self.gap_s, open_sessions=open_before, past_slots=past_slots)
+            max_age_s=self.max_age_s, gap_s=self.gap_s, open_sessions=open_before, past_slots=past_slots,
+            since=since)
         self._write(run.records, "records", batch_id)
         self._write(run.decided.select(F.col("source_alert_id").alias("alert_id"), "event_id"), "findings", batch_id)
         self._write(run.dead_letters, "dead_letters", batch_id)

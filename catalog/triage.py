@@ -169,7 +169,7 @@ def health_outbox(spark, d):
 
 def counters(spark, d):
     r = run(spark, d)
-    return pipeline_counters(normalized(spark, d), r.resolved, r.decided)
+    return pipeline_counters(normalized(spark, d), r.answers, r.decided)
 
 
 def retried(spark, d):

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import functions as F
 
 from alertloom.operators.decide import decide
-from alertloom.operators.history import enrich, history_counts, slot_summary
+from alertloom.operators.history import enrich, history_counts, reaching_slots, slot_summary
 from alertloom.operators.notices import coalesce_notices
 from alertloom.operators.scoring import resolve_attempts, validate_output
 from alertloom.operators.sessions import sessionize
@@ -58,6 +58,33 @@ def test_hot_source_is_exact(spark):
     assert (last.events_last_10min, last.related_events_24h, last.distinct_rules_from_src_24h) == (600, 749, 4)
 
 
+def test_far_slots_of_the_past_count_as_one_row_per_key(spark):
+    rng = random.Random(5)
+    rows = [(f"e{i}", T0 + timedelta(seconds=rng.randrange(45 * 86400)), f"h{rng.randrange(2)}", rng.choice([None, "10.0.0.1", "10.0.0.2"]),
+             rng.choice([None, "r1", "r2", "r3"]), None, "x") for i in range(1500)]
+    names = "event_id string, timestamp timestamp, sensor string, src_ip string, rule_id string, signature string, event_type string"
+    history = spark.createDataFrame(rows, names).persist()
+    lo = T0 + timedelta(days=30, seconds=4321)
+    since = F.unix_micros(F.lit(lo))
+    asking = history.where(F.col("timestamp") >= F.lit(lo))
+    slots = slot_summary(history)
+    near = reaching_slots(slots, since)
+    got = history_counts(asking, history, past_slots=near, since=since)
+    want = history_counts(history, history).where(F.col("timestamp") >= F.lit(lo))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    assert near.count() < slots.count() / 1.5
+    assert near.where("rule is null and n = 0").count() == near.where("rule is null and n = 0").select("key").distinct().count() == 4
+
+
+def test_notices_and_dead_letters_join_nothing(spark):
+    from catalog.triage import run
+
+    out = run(spark, "/root/testdata/sf0.001")
+    for rows in (out.notices, out.dead_letters, out.answers):
+        assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert out.answers.count() == out.resolved.count()
+
+
 def test_findings_allowlist_and_degraded(spark):
     rows = [("e1", T0, "h1", None, None, None, "finding", "a1"), ("e2", T0 + timedelta(hours=40), "h1", None, None, None, "finding", "a1"),
             ("e3", T0 + timedelta(hours=50), "h2", None, None, None, "other", "a1")]
