@@ -37,7 +37,7 @@ from alertloom.operators.scoring import Scorer, rubric_scorer
 from alertloom.operators.sessions import GAP_S
 from alertloom.plans.triage import Triage, triage
 from alertloom.schemas import UNIFIED_EVENT, columns
-from alertloom.session import remove, scratch, written
+from alertloom.session import remove, scratch, stage, written
 from alertloom.streaming.ingest import POLL, _start, batch_dir
 
 HISTORY_COLUMNS = ["event_id", "timestamp", "sensor", "src_ip", "rule_id", "signature", "event_type"]
@@ -126,6 +126,8 @@ class TriageStream:
         return reduce(DataFrame.unionByName, (self.spark.read.schema(FOLDED[name]).parquet(p) for p in paths))
 
     def _write(self, df: DataFrame, name: str, batch_id: int, by_day: bool = False) -> None:
+        if by_day:  # a day's rows are brought together first, or every task would write a file for each of its days
+            df = df.hint("rebalance", "event_date")
         writer = df.write.mode("overwrite")
         if by_day:
             writer = writer.partitionBy("event_date")
@@ -144,12 +146,9 @@ class TriageStream:
                 days = F.col("event_date").between(
                     F.to_date(F.lit(span["lo"])), F.to_date(F.lit(span["hi"])))
                 events = events.join(past.where(days), "event_id", "left_anti").select(*batch.columns)
-            events = events.persist()
-            try:
-                with scratch(self.spark):
-                    self._triage(events, past, span["lo"], span["hi"], batch_id)
-            finally:
-                events.unpersist()
+            # Written, not cached: a cached frame keeps every shuffle partition, as one task in each of its readers.
+            with scratch(self.spark):
+                self._triage(stage(events, "events"), past, span["lo"], span["hi"], batch_id)
         finally:
             batch.unpersist()
 

@@ -270,6 +270,21 @@ def test_a_wrong_clock_closes_no_session(spark, tmp_path):
         assert decided["e1"].incident_group_key == decided["e0"].incident_group_key
 
 
+def test_a_batch_writes_one_file_a_day_and_caches_no_shuffle(spark, tmp_path):
+    from alertloom.streaming.triage import TriageStream
+
+    rows = [(f"e{i}", T0 + timedelta(hours=2 * i), f"h{i % 5}", f"10.0.0.{i % 7}", "r", None, "NIDS", f"a{i}") for i in range(36)]
+    part = events(spark, rows).withColumns({
+        "severity_hint": F.lit("high"), "summary": F.lit("s"), "file_path": F.lit(None).cast("string"),
+        "source_module": F.lit("m"), "dst_ip": F.lit(None).cast("string")})
+    stream = TriageStream(spark, str(tmp_path / "days"), now=T0)
+    stream.process(part, 0)
+    assert stream.table("decided").count() == len(rows)
+    for name in ("alerts", "slots"):
+        days = [*(tmp_path / "days" / name / "batch_id=0").glob("event_date=*")]
+        assert len(days) > 2 and all(len([*day.glob("*.parquet")]) == 1 for day in days)
+
+
 def test_stream_replay_and_redelivery(spark, tmp_path):
     from alertloom.operators.scoring import rubric_scorer
     from alertloom.streaming.triage import TriageStream
