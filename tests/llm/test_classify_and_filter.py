@@ -26,6 +26,22 @@ def test_toxicity_is_learnt_from_rows_that_are_not_held_out(spark):
     assert np.allclose(again.rows, model.rows) and again.thresholds == model.thresholds
 
 
+def test_toxicity_learns_from_every_shard_of_the_labelled_rows(spark):
+    rnd, rows = random.Random(8), []
+    for i in range(900):  # one row in three is bad, each bad row by a word that a few rows share
+        bad = i % 3 == 0
+        rows.append((i, " ".join(rnd.choice("sun moon star sky sea".split()) for _ in range(12)) + (f" vile{chr(97 + i % 7)}x filth" if bad else ""), "en", bad))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], int(r[3])) for r in rows], "doc_id long, toxic int")
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 and not toxicity._kept_aside(str(r[0]), 0.15)]
+    words = {int(h) for r in learnt if r[3] for h in toxicity.word_hashes(r[1].split(" vile")[1].split()[0].join(["vile", ""]).encode(), 16)[:, 0]}
+    s = toxicity.Settings(bits=16, shard=200, batch=8)
+    model = toxicity.fit(docs, labels, settings=s)
+    assert words <= set(model.hashes.tolist())
+    got = toxicity.score(docs, model).collect()
+    assert sum((r.score >= 0.5) == (r.doc_id % 3 == 0) for r in got) > 0.97 * len(rows)
+
+
 def _learned():
     rnd = random.Random(4)
     texts = [" ".join(rnd.choice("sun moon star sky sea".split()) for _ in range(rnd.randint(1, 40))) for _ in range(300)]
